@@ -1,26 +1,46 @@
-"""Stages that turn documents into a training corpus."""
+"""Stages that turn documents into a training corpus.
+
+Toxic documents go, then exact copies and near-duplicates but one of each group, then sources are mixed
+to their target weights, and the mixed texts are encoded.  Every stage works on all that the one before it kept.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from depweave.llm import exact_dedup, mixing
+from depweave.llm import bpe, exact_dedup, mixing, near_dedup, toxicity
+from depweave.llm._common import materialise
+
+
+def _toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.keep_clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def _exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.deduplicate(docs)
 
 
+def _near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dedup.deduplicate(docs)
+
+
 def _mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs)
 
 
-STAGES = [("exact dedup", _exact), ("mixing sources to target weights", _mix)]
+def _encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bpe.digests(docs, bpe.default_tokenizer())
+
+
+STAGES = [("toxicity", _toxicity), ("exact dedup", _exact), ("MinHash near-dedup", _near), ("mixing sources to target weights", _mix), ("BPE encoding and decoding", _encode)]
+#: SQL cannot express the classifier and the samples; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = materialise(docs)
     return docs

@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, licences, mixing, secrets, top_k
+from . import bpe, exact_dedup, language, licences, mixing, near_dedup, quality, secrets, top_k, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    functions = [licences.op1_licence_scan, secrets.op2_secret_scan, mixing.op3_mix_sources, exact_dedup.op4_exact_dedup, top_k.op5_top_k]
+    functions = [licences.op1_licence_scan, secrets.op2_secret_scan, mixing.op3_mix_sources, exact_dedup.op4_exact_dedup, top_k.op5_top_k, near_dedup.op6_near_dedup, toxicity.op7_toxicity, quality.op8_quality, language.op9_language, bpe.op10_bpe]
     return {f.__name__: f for f in functions}
 
 
