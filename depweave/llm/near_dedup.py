@@ -6,8 +6,8 @@ broadcast has a fixed size.  48 samples a text are cut into 12 bands of 4; docum
 link is a pair whose weighted Jaccard similarity over whole texts is at least 0.8.
 
 Texts of equal weighted shingles are one representative first, however many they are.  In every band's bucket members are
-compared with one leader, those that are not like it with one of their own, until none is left; so
-no bucket's pairs are all listed, and none is dropped.  Leaders come from two orders, one for even and one for odd bands.
+compared with a leader, those that are not like it with leaders of their own, four times as many each round, until none
+is left; no member is dropped, however large its bucket.  First leaders come from two orders, one for even and one for odd bands.
 Classes are the connected components of the links; the smallest doc_id of a class names it and stays.
 
 Null, empty and wordless texts have no shingles and are alone. Texts of one to four words have one shingle, all
@@ -155,31 +155,43 @@ def _verify(idf: np.ndarray, similar: float):
     return run
 
 
-def _wanted(members: DataFrame) -> DataFrame:
-    """(band, key, rep, leader) for all members of a bucket but its leader."""
+def _wanted(members: DataFrame, leaders_each: int) -> DataFrame:
+    """(band, key, rep, leader) for the members of each bucket and its leaders: the first in order and about as many more as asked for."""
     order = F.when(F.col("band") % 2 == 0, F.xxhash64("rep")).otherwise(F.xxhash64("rep", F.lit(1)))
-    leaders = members.groupBy("band", "key").agg(F.min(F.struct(order.alias("o"), "rep")).alias("first"), F.count("*").alias("m")).where("m > 1")
-    return members.join(leaders.select("band", "key", F.col("first.rep").alias("leader")), ["band", "key"]).where("rep != leader")
+    buckets = members.groupBy("band", "key").agg(F.min(F.struct(order.alias("o"), "rep")).alias("first"), F.count("*").alias("m")).where("m > 1")
+    buckets = materialise(buckets.select("band", "key", "m", F.col("first.rep").alias("first")))
+    draw = F.pmod(F.xxhash64("rep", F.lit(2)), F.lit(1 << 20)) / float(1 << 20)
+    chosen = (F.col("rep") == F.col("first")) | (draw * F.col("m") < leaders_each - 1)
+    inside = materialise(members.join(buckets, ["band", "key"]).select("band", "key", "rep", chosen.alias("leads")))
+    leaders = inside.where("leads").select("band", "key", F.col("rep").alias("leader"))
+    return inside.select("band", "key", "rep").join(leaders, ["band", "key"]).where("rep != leader")
 
 
 def links(docs: DataFrame, members: DataFrame, idf, similar: float) -> DataFrame:
-    """Verified pairs (a, b) of representatives. members: band, key, rep; idf: a broadcast."""
-    wanted = materialise(_wanted(members))
-    involved = materialise(wanted.select(F.col("rep").alias("doc_id")).union(wanted.select(F.col("leader").alias("doc_id"))).distinct())
-    vectors = materialise(docs.join(involved, "doc_id", "left_semi").mapInArrow(_vectors, "doc_id long, h binary, n binary").dropDuplicates(["doc_id"]))
-    known = None
+    """Verified pairs (a, b) of representatives. members: band, key, rep.
+
+    A leader is compared with all members, so it is done; so is a member that is like a leader. The others
+    go on among themselves with four times as many leaders, until nobody is left: rounds grow with a bucket's logarithm.
+    """
+    pair = [F.greatest("rep", "leader").alias("a"), F.least("rep", "leader").alias("b")]
+    leaders_each, vectors, known = 1, None, None
     while True:
-        pairs = wanted.select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct()
-        if known is not None:
-            pairs = pairs.join(known, ["a", "b"], "left_anti")
+        wanted = materialise(_wanted(members, leaders_each))
+        if wanted.isEmpty():
+            break
+        pairs = wanted.select(*pair).distinct()
+        pairs = materialise(pairs if known is None else pairs.join(known, ["a", "b"], "left_anti"))
+        if vectors is None:  # later rounds compare some of the same texts
+            involved = materialise(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+            vectors = materialise(docs.join(involved, "doc_id", "left_semi").mapInArrow(_vectors, "doc_id long, h binary, n binary").dropDuplicates(["doc_id"]))
         sides = [vectors.select(F.col("doc_id").alias(x), F.col("h").alias(f"h{x}"), F.col("n").alias(f"n{x}")) for x in "ab"]
         checked = materialise(pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "ha", "na", "hb", "nb").mapInArrow(_verify(idf, similar), "a long, b long, similar boolean"))
         known = checked if known is None else materialise(known.union(checked))
-        unlike = known.where(~F.col("similar")).select(F.col("a").alias("rep"), F.col("b").alias("leader"))
-        left = materialise(wanted.join(unlike, ["rep", "leader"], "left_semi").select("band", "key", "rep"))
-        wanted = materialise(_wanted(left))
-        if wanted.isEmpty():
-            return known.where("similar").select("a", "b")
+        like = wanted.select("band", "key", "rep", *pair).join(known.where("similar").select("a", "b"), ["a", "b"], "left_semi").select("band", "key", "rep")
+        done = like.union(wanted.select("band", "key", F.col("leader").alias("rep"))).distinct()
+        members = materialise(wanted.select("band", "key", "rep").distinct().join(done, ["band", "key", "rep"], "left_anti"))
+        leaders_each *= 4
+    return docs.sparkSession.createDataFrame([], "a long, b long") if known is None else known.where("similar").select("a", "b")
 
 
 def classes(docs: DataFrame, similar: float = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
