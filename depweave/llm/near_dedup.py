@@ -156,15 +156,18 @@ def _verify(idf: np.ndarray, similar: float):
 
 
 def _wanted(members: DataFrame, leaders_each: int) -> DataFrame:
-    """(band, key, rep, leader) for the members of each bucket and its leaders: the first in order and about as many more as asked for."""
+    """(band, key, rep, leader) for the members of each bucket and its leaders of other labels: the first in order and about as many more as asked for.
+
+    members: band, key, rep, label. A bucket of one label has nothing left to find out.
+    """
     order = F.when(F.col("band") % 2 == 0, F.xxhash64("rep")).otherwise(F.xxhash64("rep", F.lit(1)))
-    buckets = members.groupBy("band", "key").agg(F.min(F.struct(order.alias("o"), "rep")).alias("first"), F.count("*").alias("m")).where("m > 1")
+    buckets = members.groupBy("band", "key").agg(F.min(F.struct(order.alias("o"), "rep")).alias("first"), F.count("*").alias("m"), F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 < l1")
     buckets = materialise(buckets.select("band", "key", "m", F.col("first.rep").alias("first")))
     draw = F.pmod(F.xxhash64("rep", F.lit(2)), F.lit(1 << 20)) / float(1 << 20)
     chosen = (F.col("rep") == F.col("first")) | (draw * F.col("m") < leaders_each - 1)
-    inside = materialise(members.join(buckets, ["band", "key"]).select("band", "key", "rep", chosen.alias("leads")))
-    leaders = inside.where("leads").select("band", "key", F.col("rep").alias("leader"))
-    return inside.select("band", "key", "rep").join(leaders, ["band", "key"]).where("rep != leader")
+    inside = materialise(members.join(buckets, ["band", "key"]).select("band", "key", "rep", "label", chosen.alias("leads")))
+    leaders = inside.where("leads").select("band", "key", F.col("rep").alias("leader"), F.col("label").alias("other"))
+    return inside.select("band", "key", "rep", "label").join(leaders, ["band", "key"]).where("label != other").select("band", "key", "rep", "leader")
 
 
 def links(docs: DataFrame, members: DataFrame, idf, similar: float) -> DataFrame:
@@ -172,10 +175,16 @@ def links(docs: DataFrame, members: DataFrame, idf, similar: float) -> DataFrame
 
     A leader is compared with all members, so it is done; so is a member that is like a leader. The others
     go on among themselves with four times as many leaders, until nobody is left: rounds grow with a bucket's logarithm.
+    Members that are in one component by then, be it through other bands, aren't compared any more.
     """
     pair = [F.greatest("rep", "leader").alias("a"), F.least("rep", "leader").alias("b")]
     leaders_each, vectors, known = 1, None, None
     while True:
+        if known is None:
+            members = members.withColumn("label", F.col("rep"))
+        else:
+            label = materialise(components(known.where("similar").select("a", "b")).withColumnRenamed("node", "rep"))
+            members = members.join(label, "rep", "left").select("band", "key", "rep", F.coalesce("label", "rep").alias("label"))
         wanted = materialise(_wanted(members, leaders_each))
         if wanted.isEmpty():
             break
