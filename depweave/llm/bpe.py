@@ -60,12 +60,17 @@ class Rules:
         parts[-1] += self.end
         if len(parts) > 256:
             return self._merge_long(parts)
-        ranks = self.ranks
-        while len(parts) > 1:
-            best, at = min((ranks.get(p, 1 << 60), i) for i, p in enumerate(zip(parts, parts[1:], strict=False)))
-            if best == 1 << 60:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        none = len(self.ranks)
+        rank = self.ranks.get
+        order = [rank(p, none) for p in zip(parts, parts[1:], strict=False)]
+        while order and (best := min(order)) < none:
+            at = order.index(best)
+            parts[at] += parts.pop(at + 1)
+            del order[at]
+            if at:
+                order[at - 1] = rank((parts[at - 1], parts[at]), none)
+            if at < len(order):
+                order[at] = rank((parts[at], parts[at + 1]), none)
         return [self.vocab[p] for p in parts if p in self.vocab]
 
     def _merge_long(self, parts: list[str]) -> list[int]:
