@@ -114,5 +114,6 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan(table(spark, sf_dir, "documents"), train(labelled_samples(spark)))
     kinds = F.array(*[F.lit(name) for name, *_ in BASE], F.lit("markov"))
     told = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.element_at(kinds, x["kind"] + 1), x["start"].cast("string"), x["end"].cast("string"))), ",")
-    counts = [F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{name}") for k, (name, *_) in enumerate(BASE)]
+    of = lambda kind: lambda x: x["kind"] == kind
+    counts = [F.size(F.filter("base", of(k))).cast("long").alias(f"n_{name}") for k, (name, *_) in enumerate(BASE)]
     return found.select("doc_id", *counts, F.sha2(told("base"), 256).alias("base_sha256"), told("spans").alias("spans"))
