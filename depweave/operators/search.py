@@ -22,6 +22,10 @@ def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return words.select("id", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
 
 
+def _is(term: str):
+    return lambda x: x == F.lit(term)
+
+
 def bm25(docs: DataFrame, query: str, id_col: str, text_col: str) -> DataFrame:
     """(id, score) of the texts that hold a term of the query.
 
@@ -31,7 +35,7 @@ def bm25(docs: DataFrame, query: str, id_col: str, text_col: str) -> DataFrame:
     if not terms:
         return docs.select(F.col(id_col).alias("id"), F.lit(0.0).alias("score")).limit(0)
     words = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("t"))
-    counts = words.select("id", F.size("t").alias("dl"), *[F.size(F.filter("t", lambda x, t=t: x == t)).alias(f"tf{k}") for k, t in enumerate(terms)])
+    counts = words.select("id", F.size("t").alias("dl"), *[F.size(F.filter("t", _is(t))).alias(f"tf{k}") for k, t in enumerate(terms)])
     stats = counts.agg(F.count("*").alias("n"), F.avg("dl").alias("avg"), *[F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(len(terms))]).first()
     n, avg = stats["n"], stats["avg"] or 1.0
     score = F.lit(0.0)
