@@ -1,6 +1,7 @@
 """Near-duplicates by improved consistent weighted sampling over TF-IDF shingles.
 
-A shingle is five words; its weight in a text is its count times ln(1 + N / df).  Document frequencies are
+A shingle is five words; its weight in a text is its count times 4 + ln(1 + N / df), smoothed so that copies are found in a group that
+makes up much of the corpus too, whose shared shingles are then common.  Document frequencies are
 counted over all documents in a table of 2^18 slots by the shingle's hash (a shingle takes the count of its slot), so what is
 broadcast has a fixed size.  48 samples a text are cut into 12 bands of 4; documents that share a band are candidates, and a
 link is a pair whose weighted Jaccard similarity over whole texts is at least 0.8.
@@ -30,6 +31,7 @@ from .components import components
 WIDTH, SIMILAR = 5, 0.8
 BANDS, ROWS = 12, 4
 SLOTS = 1 << 18
+SMOOTHING = 4.0
 #: Bytes of texts that are worked on at once.
 STEP = 2 << 20
 _SLOT = np.uint64(SLOTS - 1)
@@ -55,11 +57,11 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def idf_table(docs: DataFrame) -> np.ndarray:
-    """ln(1 + N / df) by slot; N and df over all documents. The driver gets one row per slot at most."""
+    """4 + ln(1 + N / df) by slot; N and df over all documents. The driver gets one row per slot at most."""
     counts = docs.mapInArrow(_frequencies, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
     df = np.ones(SLOTS)
     df[counts["slot"].to_numpy()] = counts["n"].to_numpy()
-    return np.log1p(docs.count() / df).astype(np.float32)
+    return (SMOOTHING + np.log1p(docs.count() / df)).astype(np.float32)
 
 
 class Sampler:
