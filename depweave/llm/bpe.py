@@ -12,21 +12,25 @@ Null counts as empty; an empty text has no ids and decodes to the empty string.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 import mmap
 import struct
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import table
+from ._common import slices, table, utf8
 
 #: Words in the automaton, entries of a worker's cache of results.
 FREQUENT, CACHE = 16_384, 200_000
+#: Bytes of texts that are worked on at once.
+STEP = 1 << 20
 
 
 def byte_letters() -> list[str]:
@@ -163,57 +167,171 @@ class Transducer:
             out.append(view[at : at + 4 * n].cast("i"))
             at += 4 * n
         self.first, self.target, self.skipped, self.at, self.ids = out
-        self.byte, self.root = view[at : at + arcs], root
+        self.root = root
+        self.first_of, self.target_of, self.skipped_of = (np.frombuffer(x, np.int32) for x in (self.first, self.target, self.skipped))
+        self.key = np.repeat(np.arange(states, dtype=np.int64), np.diff(self.first_of >> 1)) * 256 + np.frombuffer(view[at : at + arcs], np.uint8)
+        self.longest = self._depth()
+
+    def _depth(self) -> int:
+        """Bytes of the longest word: states come after those that their arcs lead to."""
+        depth = [0] * (len(self.first) - 1)
+        for k in range(len(depth)):
+            depth[k] = max((depth[t] + 1 for t in self.target[self.first[k] >> 1 : self.first[k + 1] >> 1]), default=0)
+        return depth[self.root]
 
     def lookup(self, word: bytes) -> list[int] | None:
-        state, number = self.root, 0
-        for b in word:
-            for arc in range(self.first[state] >> 1, self.first[state + 1] >> 1):
-                if self.byte[arc] == b:
-                    number += self.skipped[arc]
-                    state = self.target[arc]
-                    break
-            else:
-                return None
-        return self.ids[self.at[number] : self.at[number + 1]].tolist() if self.first[state] & 1 else None
+        return self.lookup_all([word])[0]
+
+    def lookup_all(self, words: list[bytes]) -> list[list[int] | None]:
+        """Each word's ids, or None. All words walk the automaton together, a byte a step; (state, byte) leads to its arc by binary search."""
+        out: list[list[int] | None] = [None] * len(words)
+        data = np.frombuffer(b"".join(words), np.uint8)
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        begin = np.cumsum(size) - size
+        row = np.flatnonzero(size <= self.longest) if len(self.key) else np.zeros(0, np.int64)
+        state, number = np.full(len(row), self.root, np.int64), np.zeros(len(row), np.int64)
+        for k in range(self.longest + 1):
+            ended = size[row] == k
+            final = ended & (self.first_of[state] & 1 == 1)
+            for i, m in zip(row[final].tolist(), number[final].tolist(), strict=True):
+                out[i] = self.ids[self.at[m] : self.at[m + 1]].tolist()
+            row, state, number = row[~ended], state[~ended], number[~ended]
+            if not len(row):
+                break
+            wanted = state * 256 + data[begin[row] + k]
+            arc = np.minimum(np.searchsorted(self.key, wanted), len(self.key) - 1)
+            known = self.key[arc] == wanted
+            row, arc = row[known], arc[known]
+            state, number = self.target_of[arc].astype(np.int64), number[known] + self.skipped_of[arc]
+        return out
+
+
+class Merger:
+    """Merges many short words at once: a row of symbols a word, and in each round every row's pair of lowest rank is joined.
+
+    Symbols 0 to 255 are bytes, 256 to 511 bytes that end a word, 512 fills rows; joined ones follow.
+    """
+
+    FILL, WIDEST = 512, 40
+
+    def __init__(self, rules: Rules) -> None:
+        self.rules = rules
+        number = {c: b for b, c in enumerate(LETTERS)}
+        if rules.end:
+            number |= {c + rules.end: 256 + b for b, c in enumerate(LETTERS)}
+        symbols = itertools.count(self.FILL + 1)
+        for a, b in rules.ranks:
+            for part in (a, b, a + b):
+                if part not in number:
+                    number[part] = next(symbols)
+        self.count = max(number.values()) + 1
+        self.id = np.full(self.count + 1, -1, np.int64)
+        for part, k in number.items():
+            self.id[k] = rules.vocab.get(part, -1)
+        self.none = len(rules.ranks)
+        pairs = np.array([(number[a], number[b], number[a + b]) for a, b in rules.ranks], np.int64).reshape(-1, 3)
+        key = pairs[:, 0] * self.count + pairs[:, 1]
+        order = np.argsort(key)
+        self.key, self.rank, self.joined = key[order], order.astype(np.int32), pairs[:, 2].astype(np.int32)
+        self.single = np.full((513, 513), self.none, np.int32)
+        few = np.flatnonzero((pairs[:, :2] < 512).all(axis=1))
+        self.single[pairs[few, 0], pairs[few, 1]] = few
+        self.last = 256 if rules.end else 0
+
+    def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        wanted = a.astype(np.int64) * self.count + b
+        wanted[(a == self.FILL) | (b == self.FILL)] = -1
+        if not len(self.key):
+            return np.full(len(wanted), self.none, np.int32)
+        at = np.minimum(np.searchsorted(self.key, wanted), len(self.key) - 1)
+        return np.where(self.key[at] == wanted, self.rank[at], self.none).astype(np.int32)
+
+    def merge(self, words: list[bytes]) -> list[list[int]]:
+        """Ids of each word of at most WIDEST bytes."""
+        n = len(words)
+        size = np.fromiter(map(len, words), np.int64, n)
+        width = int(size.max())
+        at = np.arange(width)
+        symbols = np.full((n, width), self.FILL, np.int32)
+        symbols[at < size[:, None]] = np.frombuffer(b"".join(words), np.uint8)
+        symbols[np.arange(n), size - 1] += self.last
+        rank = self.single[symbols[:, :-1], symbols[:, 1:]]
+        row, out = np.arange(n), [[]] * n
+        while True:
+            best = rank.argmin(axis=1) if rank.shape[1] else np.zeros(len(row), np.int64)
+            least = rank[np.arange(len(row)), best] if rank.shape[1] else np.full(len(row), self.none)
+            done = least == self.none
+            if done.any():
+                for i, ids in zip(row[done].tolist(), np.where(symbols[done] == self.FILL, -1, self.id[symbols[done]]).tolist(), strict=True):
+                    out[i] = [x for x in ids if x >= 0]
+                going = ~done
+                row, symbols, rank, best, least = row[going], symbols[going], rank[going], best[going], least[going]
+            if not len(row):
+                return out
+            each, at = np.arange(len(row)), np.arange(symbols.shape[1] - 1)
+            symbols = np.take_along_axis(symbols, at + (at > best[:, None]), 1)
+            symbols[each, best] = self.joined[least]
+            rank = np.take_along_axis(rank, at[:-1] + (at[:-1] >= best[:, None]), 1)
+            before, after = np.flatnonzero(best > 0), np.flatnonzero(best < rank.shape[1])
+            rank[before, best[before] - 1] = self.ranks(symbols[before, best[before] - 1], symbols[before, best[before]])
+            rank[after, best[after]] = self.ranks(symbols[after, best[after]], symbols[after, best[after] + 1])
 
 
 class Encoder:
     def __init__(self, rules: Rules, block: bytes) -> None:
-        self.rules, self.words = rules, Transducer(block)
+        self.rules, self.words, self.merger = rules, Transducer(block), Merger(rules)
         self.split = regex.compile(rules.pattern)
         self.special = regex.compile("|".join(regex.escape(s) for s in sorted(rules.special, key=len, reverse=True))) if rules.special else None
-        self.cache: dict[str, tuple[str, int, str]] = {}
-
-    def word(self, word: str) -> tuple[str, int, str]:
-        """A word's ids as text, their number, and the text that they decode to."""
-        ids = self.words.lookup(word.encode("utf-8", "replace"))
-        if ids is None:
-            ids = self.rules.merge(word)
-        if len(self.cache) >= CACHE:
-            self.cache.clear()
-        out = self.cache[word] = (" ".join(map(str, ids)), len(ids), " ".join(self.rules.token[i] for i in ids))
-        return out
+        self.number = {i: str(i) for i in rules.token}
+        #: By word (or special token's id): its ids as text, and what they decode to.
+        self.ids: dict[str | int, str] = {i: str(i) for i in rules.special.values()}
+        self.decoded: dict[str | int, str] = {i: s for s, i in rules.special.items()}
+
+    def learn(self, words: set[str | int]) -> None:
+        """Make sure that the cache holds all these words."""
+        missing = [w for w in words if w not in self.ids]
+        if len(self.ids) + len(missing) > CACHE:
+            kept = words | set(self.rules.special.values())
+            self.ids = {w: x for w, x in self.ids.items() if w in kept}
+            self.decoded = {w: self.decoded[w] for w in self.ids}
+        for lo in range(0, len(missing), 8192):
+            self._learn(missing[lo : lo + 8192])
+
+    def _learn(self, words: list[str]) -> None:
+        raw = [w.encode("utf-8", "replace") for w in words]
+        found = self.words.lookup_all(raw)
+        short = [k for k, ids in enumerate(found) if ids is None and len(raw[k]) <= Merger.WIDEST]
+        for k, ids in zip(short, self.merger.merge([raw[k] for k in short]) if short else [], strict=True):
+            found[k] = ids
+        number, token = self.number, self.rules.token
+        for w, ids in zip(words, found, strict=True):
+            if ids is None:
+                ids = self.rules.merge(w)
+            self.ids[w] = " ".join([number[i] for i in ids])
+            self.decoded[w] = " ".join([token[i] for i in ids])
 
     def encode(self, text: str) -> tuple[str, int, str]:
-        """The same of a whole text."""
-        found = []
-        pieces = [(text, None)] if self.special is None or "<|" not in text and not self.special.search(text) else self._pieces(text)
-        cache = self.cache
-        for part, special in pieces:
-            if special is not None:
-                found.append((str(special), 1, part))
-            else:
-                found += [cache.get(w) or self.word(w) for w in self.split.findall(lower(part))]
-        found = [x for x in found if x[1]]
-        return " ".join([x[0] for x in found]), sum([x[1] for x in found]), " ".join([x[2] for x in found])
-
-    def _pieces(self, text: str) -> list[tuple[str, int | None]]:
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[tuple[str, int, str]]:
+        """Of each text its ids as text, their number, and the text that they decode to."""
+        parts = [self._parts(t) for t in texts]
+        self.learn(set().union(*parts))
+        out = []
+        for words in parts:
+            ids = " ".join(filter(None, map(self.ids.__getitem__, words)))
+            out.append((ids, ids.count(" ") + 1 if ids else 0, " ".join(filter(None, map(self.decoded.__getitem__, words)))))
+        return out
+
+    def _parts(self, text: str) -> list[str | int]:
+        """A text's words, and the ids of its special tokens."""
+        if self.special is None or not self.special.search(text):
+            return self.split.findall(lower(text))
         out, at = [], 0
         for m in self.special.finditer(text):
-            out += [(text[at : m.start()], None), (m[0], self.rules.special[m[0]])]
+            out += [*self.split.findall(lower(text[at : m.start()])), self.rules.special[m[0]]]
             at = m.end()
-        return [*out, (text[at:], None)]
+        return out + self.split.findall(lower(text[at:]))
 
 
 def frequent_words(docs: DataFrame, n: int = FREQUENT) -> list[str]:
@@ -255,9 +373,9 @@ def encode(docs: DataFrame, tokenizer: str, words: list[str] | None = None, text
         encoder = worker_encoder(key, given)
         for batch in batches:
             text = batch.column(len(kept))
-            for lo in range(0, batch.num_rows, 512):
-                rows = [encoder.encode(t or "") for t in text.slice(lo, 512).to_pylist()]
-                columns = [batch.column(i).slice(lo, 512) for i in range(len(kept))]
+            for lo, hi in slices(utf8(text)[1], STEP):
+                rows = encoder.encode_all([t or "" for t in text.slice(lo, hi - lo).to_pylist()])
+                columns = [batch.column(i).slice(lo, hi - lo) for i in range(len(kept))]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.string())], [*kept, "ids", "n_tokens", "decoded"])
 
     schema = docs.select(*[F.col(f"`{c}`") for c in kept]).schema.add("ids", "string").add("n_tokens", "long").add("decoded", "string")
