@@ -15,7 +15,9 @@ def components(edges: DataFrame) -> DataFrame:
     hot; rounds grow with the logarithm of a component's size. Every round is written, so lost executors cost no more than it.
     """
     pairs = materialise(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    while True:
+    mark = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    before = mark(pairs)
+    while before[0]:
         # Large star: every larger neighbour of u goes to the least neighbour of u.
         both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
@@ -26,7 +28,17 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(least, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).where("u != v").distinct()
         small = materialise(small)
-        mark = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark(small) == mark(pairs):
-            return small.select(F.col("u").alias("node"), F.col("v").alias("label")).union(small.select(F.col("v").alias("node"), F.col("v").alias("label"))).distinct()
-        pairs = small
+        pairs, now = small, mark(small)
+        if now == before:
+            break
+        before = now
+    return pairs.select(F.col("u").alias("node"), F.col("v").alias("label")).union(pairs.select(F.col("v").alias("node"), F.col("v").alias("label"))).distinct()
+
+
+def merge(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, label) after edges (a, b) are added to the components that labels holds; only the components that edges touch are walked."""
+    ends = labels.select(F.col("node").alias("a"), F.col("label").alias("la")), labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
+    edges = materialise(edges.join(ends[0], "a", "left").join(ends[1], "b", "left").select("a", "b", F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb")))
+    known = labels.union(edges.select("a", "la")).union(edges.select("b", "lb")).distinct()
+    found = components(edges.select(F.col("la").alias("a"), F.col("lb").alias("b"))).select(F.col("node").alias("label"), F.col("label").alias("least"))
+    return materialise(known.join(found, "label", "left").select("node", F.coalesce("least", "label").alias("label")))

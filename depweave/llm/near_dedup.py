@@ -7,8 +7,8 @@ broadcast has a fixed size.  48 samples a text are cut into 12 bands of 4; docum
 link is a pair whose weighted Jaccard similarity over whole texts is at least 0.8.
 
 Texts of equal weighted shingles are one representative first, however many they are.  In every band's bucket members are
-compared with a leader, those that are not like it with leaders of their own, four times as many each round, until none
-is left; no member is dropped, however large its bucket.  First leaders come from two orders, one for even and one for odd bands.
+compared with a leader, then those of different components with four times as many leaders each round, until every pair of a
+bucket is compared or joined by links; no member is dropped, however large its bucket.  First leaders come from two orders, one for even and one for odd bands.
 Classes are the connected components of the links; the smallest doc_id of a class names it and stays.
 
 Null, empty and wordless texts have no shingles and are alone. Texts of one to four words have one shingle, all
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ._common import materialise, mix64, slices, table, utf8
 from ._words import Words, counted
-from .components import components
+from .components import merge
 
 WIDTH, SIMILAR = 5, 0.8
 BANDS, ROWS = 12, 4
@@ -157,52 +157,48 @@ def _verify(idf: np.ndarray, similar: float):
     return run
 
 
-def _wanted(members: DataFrame, leaders_each: int) -> DataFrame:
-    """(band, key, rep, leader) for the members of each bucket and its leaders of other labels: the first in order and about as many more as asked for.
+def _wanted(members: DataFrame, leaders_each: int) -> tuple[DataFrame, bool]:
+    """Pairs (a, b) of the members of each bucket and its leaders of other labels, and whether all members lead.
 
-    members: band, key, rep, label. A bucket of one label has nothing left to find out.
+    members: band, key, rep, label. Leaders are the first in order and about as many more as asked for; those of a round
+    lead in the next one too. A bucket of one label has nothing left to find out.
     """
     order = F.when(F.col("band") % 2 == 0, F.xxhash64("rep")).otherwise(F.xxhash64("rep", F.lit(1)))
     buckets = members.groupBy("band", "key").agg(F.min(F.struct(order.alias("o"), "rep")).alias("first"), F.count("*").alias("m"), F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 < l1")
     buckets = materialise(buckets.select("band", "key", "m", F.col("first.rep").alias("first")))
+    most = buckets.agg(F.max("m")).first()[0] or 0
     draw = F.pmod(F.xxhash64("rep", F.lit(2)), F.lit(1 << 20)) / float(1 << 20)
     chosen = (F.col("rep") == F.col("first")) | (draw * F.col("m") < leaders_each - 1)
     inside = materialise(members.join(buckets, ["band", "key"]).select("band", "key", "rep", "label", chosen.alias("leads")))
     leaders = inside.where("leads").select("band", "key", F.col("rep").alias("leader"), F.col("label").alias("other"))
-    return inside.select("band", "key", "rep", "label").join(leaders, ["band", "key"]).where("label != other").select("band", "key", "rep", "leader")
+    pairs = inside.join(leaders, ["band", "key"]).where("label != other")
+    return pairs.select(F.greatest("rep", "leader").alias("a"), F.least("rep", "leader").alias("b")).distinct(), leaders_each > most
 
 
-def links(docs: DataFrame, members: DataFrame, idf, similar: float) -> DataFrame:
-    """Verified pairs (a, b) of representatives. members: band, key, rep.
+def labels(docs: DataFrame, members: DataFrame, idf, similar: float) -> DataFrame:
+    """(node, label): components of the links between representatives that share a band; only nodes with links. members: band, key, rep.
 
-    A leader is compared with all members, so it is done; so is a member that is like a leader. The others
-    go on among themselves with four times as many leaders, until nobody is left: rounds grow with a bucket's logarithm.
-    Members that are in one component by then, be it through other bands, aren't compared any more.
+    In every bucket all members are compared with a leader, then with four times as many leaders each round, until all members
+    lead or the bucket is one component: then every pair of its members is compared or joined by links. Members of one component, be it
+    through other bands, aren't compared any more, so a group of copies settles in the first rounds.
     """
-    pair = [F.greatest("rep", "leader").alias("a"), F.least("rep", "leader").alias("b")]
-    leaders_each, vectors, known = 1, None, None
-    while True:
-        if known is None:
-            members = members.withColumn("label", F.col("rep"))
-        else:
-            label = materialise(components(known.where("similar").select("a", "b")).withColumnRenamed("node", "rep"))
-            members = members.join(label, "rep", "left").select("band", "key", "rep", F.coalesce("label", "rep").alias("label"))
-        wanted = materialise(_wanted(members, leaders_each))
-        if wanted.isEmpty():
-            break
-        pairs = wanted.select(*pair).distinct()
+    found = docs.sparkSession.createDataFrame([], "node long, label long")
+    leaders_each, vectors, known, all_lead = 1, None, None, False
+    while not all_lead:
+        now = members.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("band", "key", "rep", F.coalesce("label", "rep").alias("label"))
+        pairs, all_lead = _wanted(now, leaders_each)
+        leaders_each *= 4
         pairs = materialise(pairs if known is None else pairs.join(known, ["a", "b"], "left_anti"))
-        if vectors is None:  # later rounds compare some of the same texts
+        if pairs.isEmpty():
+            continue
+        if vectors is None:  # every member of a bucket that is compared at all meets its leader in this round
             involved = materialise(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
             vectors = materialise(docs.join(involved, "doc_id", "left_semi").mapInArrow(_vectors, "doc_id long, h binary, n binary").dropDuplicates(["doc_id"]))
         sides = [vectors.select(F.col("doc_id").alias(x), F.col("h").alias(f"h{x}"), F.col("n").alias(f"n{x}")) for x in "ab"]
         checked = materialise(pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "ha", "na", "hb", "nb").mapInArrow(_verify(idf, similar), "a long, b long, similar boolean"))
-        known = checked if known is None else materialise(known.union(checked))
-        like = wanted.select("band", "key", "rep", *pair).join(known.where("similar").select("a", "b"), ["a", "b"], "left_semi").select("band", "key", "rep")
-        done = like.union(wanted.select("band", "key", F.col("leader").alias("rep"))).distinct()
-        members = materialise(wanted.select("band", "key", "rep").distinct().join(done, ["band", "key", "rep"], "left_anti"))
-        leaders_each *= 4
-    return docs.sparkSession.createDataFrame([], "a long, b long") if known is None else known.where("similar").select("a", "b")
+        known = checked if known is None else known.union(checked)
+        found = merge(found, checked.where("similar").select("a", "b"))
+    return found
 
 
 def classes(docs: DataFrame, similar: float = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -212,7 +208,7 @@ def classes(docs: DataFrame, similar: float = SIMILAR, id_col: str = "doc_id", t
     signed = materialise(docs.mapInArrow(_sign(idf), SIGNED))
     reps = materialise(signed.where("c1 is not null and doc_id is not null").groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.min("bands").alias("bands")))
     members = reps.select("rep", F.posexplode("bands").alias("band", "key"))
-    found = components(links(docs, members, idf, similar))
+    found = labels(docs, members, idf, similar)
     label = materialise(reps.select("c1", "c2", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("c1", "c2", F.coalesce("label", "rep").alias("label")))
     own = materialise(signed.select("doc_id", "c1", "c2").join(label, ["c1", "c2"], "left").select("doc_id", F.coalesce("label", "doc_id").alias("class_id")))
     size = own.groupBy("class_id").agg(F.count("*").alias("class_size"))
