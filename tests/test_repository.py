@@ -2,7 +2,7 @@
 
 import pytest
 
-from depweave.sources import parsers, repository
+from depweave.sources import graph_json, parsers, repository
 from depweave.tools import Tools
 
 SOURCES = {
@@ -76,3 +76,14 @@ def test_tools(spark, root, tmp_path):
     assert tools.call("get_graph", {"root_path": root, "subgraph_paths": ["rb/a.rb", "rb/b.rb", "x"]})["missing_paths"] == ["x"]
     assert tools.call("list_repos")["repos"][0]["breakdown"]["Class"] == 5
     assert tools.call("delete_repo", {"root_path": root})["status"] == "deleted" and tools.call("delete_repo", {"root_path": root})["code"] == "NOT_FOUND"
+
+
+def test_json_round_trip(spark, tmp_path):
+    nodes = spark.createDataFrame([("a.py", "python", "file"), ("b.rb", None, None)], "node_id string, language string, kind string")
+    edges = spark.createDataFrame([("a.py", "b.rb", "CALLS"), ("b.rb", "a.py", None)], "src string, dst string, rel string")
+    graph_json.save(nodes, edges, f"{tmp_path}/g")
+    got_nodes, got_edges = graph_json.load(spark, f"{tmp_path}/g")
+    assert {tuple(r) for r in got_nodes.collect()} == {("a.py", "a.py", "python", "file"), ("b.rb", "b.rb", "", "file")}
+    assert {tuple(r) for r in got_edges.collect()} == {("a.py", "b.rb", "CALLS"), ("b.rb", "a.py", "DEPENDS_ON")}
+    graph_json.save(nodes.limit(0), edges.limit(0), f"{tmp_path}/g")
+    assert graph_json.load(spark, f"{tmp_path}/g")[0].isEmpty()
