@@ -78,8 +78,6 @@ NOTICES = {
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Released under the Apache License 2.0.", "SPDX-License-Identifier: Apache-2.0"],
     "BSD-2-Clause": ["Released under the BSD 2-Clause License.", "SPDX-License-Identifier: BSD-2-Clause"],
     "BSD-3-Clause": ["Released under the BSD 3-Clause License.", "Licensed under the BSD 3-Clause License.", "SPDX-License-Identifier: BSD-3-Clause"],
-    "CC-BY-4.0": ["This work is licensed under a Creative Commons Attribution 4.0 International License.", "Licensed under CC BY 4.0 license.", "SPDX-License-Identifier: CC-BY-4.0"],
-    "CC-BY-SA-4.0": ["This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "SPDX-License-Identifier: CC-BY-SA-4.0"],
     "CC0-1.0": ["This work is dedicated to the public domain under the CC0 1.0 Universal license.", "SPDX-License-Identifier: CC0-1.0"],
     "GPL-2.0-only": ["This work is licensed under the GNU General Public License, version 2.", "SPDX-License-Identifier: GPL-2.0-only"],
     "GPL-3.0-only": ["This work is licensed under the GNU General Public License, version 3.", "Released under the GNU General Public License, version 3.", "SPDX-License-Identifier: GPL-3.0-only"],
@@ -89,3 +87,17 @@ NOTICES = {
     "MPL-2.0": ["This work is licensed under the Mozilla Public License, version 2.0.", "SPDX-License-Identifier: MPL-2.0"],
     "Unlicense": ["This is free and unencumbered software released into the public domain.", "SPDX-License-Identifier: Unlicense"],
 }
+
+#: The six Creative Commons licences of version 4.0: the parts of the long name of each.
+_CC = {
+    "BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial", "BY-ND": "Attribution-NoDerivatives",
+    "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives",
+}
+for _short, _long in _CC.items():
+    _names = [f"CC {_short} 4.0", f"CC-{_short}-4.0", f"Creative Commons {_long} 4.0", f"Creative Commons {_long} 4.0 International"]
+    _leads = ["Licensed under", "This work is licensed under", "This project is licensed under"]
+    NOTICES[f"CC-{_short}-4.0"] = [
+        *[f"{lead} {article}{name}{end}." for lead in _leads for article in ("", "a ", "the ") for name in _names for end in ("", " License")],
+        *[f"Released under {article}{name} License." for article in ("", "a ", "the ") for name in _names],
+        f"SPDX-License-Identifier: CC-{_short}-4.0",
+    ]

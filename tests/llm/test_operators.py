@@ -41,6 +41,37 @@ def test_against_sql(spark, name):
     assert put(got.columns, [tuple(r) for r in got.collect()]) == put(want.columns, want.fetchall())
 
 
+#: Written by hand from the lines of the tables, not from the operator's own table.
+STATED = {
+    "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "Licensed under the Apache License, Version 2.0.": "Apache-2.0",
+    "Released under the MIT License.": "MIT", "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0-only",
+}
+
+
+def test_licence_notices_of_the_documents(spark):
+    texts = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    want = {}
+    for doc_id, text in texts.collect():
+        lines = [x for x in (text or "").split("\n") if re.match("(Licensed|Released|This work is licensed) under ", x)]
+        assert all(x in STATED for x in lines), lines
+        want[doc_id] = (len(lines), ",".join(sorted({STATED[x] for x in lines})))
+    assert {r["doc_id"]: (r["n_notices"], r["notices"]) for r in licences.scan(texts).collect()} == want
+    assert sum("CC-BY-NC-4.0" in names for _, names in want.values()) == 63
+
+
+def test_creative_commons_notices(spark):
+    lines = {
+        "Licensed under CC BY 4.0 license.": "CC-BY-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.": "CC-BY-SA-4.0",
+        "This work is licensed under CC BY-NC 4.0": "CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.": "CC-BY-NC-4.0", "// SPDX-License-Identifier: CC-BY-NC-4.0": "CC-BY-NC-4.0",
+        "Licensed under CC BY-ND 4.0.": "CC-BY-ND-4.0", "Licensed under the Creative Commons Attribution-NoDerivatives 4.0 International License": "CC-BY-ND-4.0", "SPDX-License-Identifier: CC-BY-ND-4.0": "CC-BY-ND-4.0",
+        "Licensed under CC BY-NC-SA 4.0.": "CC-BY-NC-SA-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.": "CC-BY-NC-SA-4.0", "SPDX-License-Identifier: CC-BY-NC-SA-4.0": "CC-BY-NC-SA-4.0",
+        "Licensed under CC BY-NC-ND 4.0.": "CC-BY-NC-ND-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.": "CC-BY-NC-ND-4.0", "SPDX-License-Identifier: CC-BY-NC-ND-4.0": "CC-BY-NC-ND-4.0",
+    }
+    docs = spark.createDataFrame([(i, f"Some words.\n{line}\nMore words.") for i, line in enumerate(lines)], "doc_id long, text string")
+    got = {r["doc_id"]: r["notices"] for r in licences.scan(docs).collect()}
+    assert got == dict(enumerate(lines.values()))
+
+
 def base_spans(text):
     out = []
     for k, (_, pattern, group) in enumerate([("assign", secrets.BASE[0][1], 2), ("access", "AKIA[A-Z0-9]+", 0), ("hex", "[0-9a-f]+", 0)]):
