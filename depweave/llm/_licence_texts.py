@@ -1,5 +1,9 @@
 """Known licences. Public licence texts, notices and equivalent spellings."""
 
+import re
+import textwrap
+from pathlib import Path
+
 #: Equivalent words, as in the matching guidelines for licence lists.
 SPELLINGS = [
     ("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("sub licence", "sublicense"), ("sub license", "sublicense"),
@@ -73,6 +77,51 @@ TEXTS = [
     ("WTFPL", "Do What The Fuck You Want To Public License", _WTFPL),
 ]
 
+#: Other titles that a text of TEXTS stands below.
+TITLES = {
+    "MIT": ["The MIT License", "The MIT License (MIT)", "MIT License (MIT)", "MIT", "(The MIT License)"],
+    "MIT-0": ["MIT-0", "MIT No Attribution License"],
+    "ISC": ["The ISC License", "ISC", "The ISC License (ISC)", "ISC License (ISC)"],
+    "0BSD": ["Zero-Clause BSD", "0BSD", "BSD Zero Clause License (0BSD)"],
+    "BSD-2-Clause": ["The BSD 2-Clause License", "BSD-2-Clause", "Simplified BSD License", "BSD License", "The BSD License"],
+    "BSD-3-Clause": ["The BSD 3-Clause License", "BSD-3-Clause", "New BSD License", "BSD License", "The BSD License", "Modified BSD License"],
+    "Zlib": ["The zlib License", "zlib", "The zlib/libpng License"],
+    "Apache-2.0": ["Apache License 2.0", "The Apache License, Version 2.0", "Apache-2.0", "Apache 2.0", "Apache License"],
+    "GPL-2.0-or-later": ["GNU General Public License, version 2", "GNU General Public License v2.0", "GNU GPL v2", "GPL-2.0-or-later", "GNU GPL"],
+    "GPL-3.0-or-later": ["GNU General Public License, version 3", "GNU General Public License v3.0", "GNU GPL v3", "GPL-3.0-or-later", "GNU GPL"],
+    "MPL-2.0": ["Mozilla Public License, version 2.0", "Mozilla Public License, v. 2.0", "Mozilla Public License Version 2.0", "MPL-2.0", "MPL 2.0"],
+    "WTFPL": ["WTFPL"],
+}
+#: Stands below the copyright line of many texts.
+RESERVED = "All rights reserved."
+#: Where the terms of a whole text end and advice on its use begins.
+_END_OF_TERMS = re.compile(r"END OF TERMS AND CONDITIONS")
+
+
+def layouts(text: str) -> list[str]:
+    """A short text with its paragraphs on one line and wrapped at 60 to 100 characters, with and without the numbers of its items."""
+    out = []
+    for t in (text, re.sub(r"(?m)^\d\. ", "", text)):
+        paragraphs = t.split("\n\n")
+        out += [t, *["\n\n".join(textwrap.fill(p, width, break_long_words=False, break_on_hyphens=False) for p in paragraphs) for width in range(60, 101)]]
+    return out
+
+
+def whole_texts() -> list[tuple[str, str]]:
+    """SPDX name and text of the complete licences beside this file.
+
+    Each as it stands, with its lines joined to paragraphs (a line that begins with "copyright" is left out of digests, so wrapping
+    matters), and both without what follows its terms.
+    """
+    out = []
+    for path in sorted((Path(__file__).parent / "licence_texts").glob("*.txt")):
+        text = path.read_text(encoding="utf-8")
+        end = _END_OF_TERMS.search(text)
+        for part in [text, *([text[: end.end()], text[: end.start()]] if end else [])]:
+            out += [(path.stem, part), (path.stem, re.sub(r"(?<!\n)\n[ \t]*(?=[^\s])", " ", part))]
+    return out
+
+
 #: Notices of one line.
 NOTICES = {
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Released under the Apache License 2.0.", "SPDX-License-Identifier: Apache-2.0"],

@@ -9,6 +9,7 @@ the digest of the empty string and no licence.  Repeated rows give repeated resu
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 import regex
@@ -44,11 +45,14 @@ def digest(text: str) -> str:
     return hashlib.sha256(normalise_text(text).encode()).hexdigest()
 
 
+@functools.cache
 def known_texts() -> dict[str, str]:
-    """Digest to licence of whole texts: each known text as it is and below its title."""
-    out = {}
+    """Digest to licence of whole texts: each complete licence, and each short text as it is and below its titles."""
+    out = {digest(text): name for name, text in known.whole_texts()}
     for name, title, text in known.TEXTS:
-        out |= {digest(text): name, digest(f"{title}\n{text}"): name}
+        for body in {normalise_text(t): t for t in known.layouts(text)}.values():
+            for head in ("", *(f"{t}\n" for t in [title, *known.TITLES[name]])):
+                out |= {digest(f"{head}{body}"): name, digest(f"{head}{known.RESERVED}\n{body}"): name}
     return out | known_notices()
 
 

@@ -72,6 +72,25 @@ def test_creative_commons_notices(spark):
     assert got == dict(enumerate(lines.values()))
 
 
+#: Complete licences as Debian ships them.
+COMPLETE = {
+    "Apache-2.0": "Apache-2.0", "Artistic": "Artistic-1.0-Perl", "BSD": "BSD-3-Clause", "CC0-1.0": "CC0-1.0", "GFDL-1.2": "GFDL-1.2-only", "GFDL-1.3": "GFDL-1.3-only", "GPL-1": "GPL-1.0-only", "GPL-2": "GPL-2.0-only",
+    "GPL-3": "GPL-3.0-only", "LGPL-2": "LGPL-2.0-only", "LGPL-2.1": "LGPL-2.1-only", "LGPL-3": "LGPL-3.0-only", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0",
+}
+
+
+def test_complete_licences(spark):
+    folder = "/usr/share/common-licenses"
+    whole = {x: open(f"{folder}/{f}", encoding="utf-8").read() for f, x in COMPLETE.items() if os.path.exists(f"{folder}/{f}")}
+    if not whole:
+        pytest.skip("no licences on this machine")
+    header = licences.known._APACHE
+    isc = licences.known._ISC + ", provided that the above\ncopyright notice and this permission notice appear in all copies." + licences.known._ISC_END
+    rows = [*whole.items(), ("Apache-2.0", f"Apache License 2.0\n\nCopyright 2020 Somebody\n\n{header}"), ("ISC", f"The ISC License\n\nCopyright (c) 2009 Somebody\n\n{isc}"), (None, "A text about the Apache License and the GPL.")]
+    docs = spark.createDataFrame([(i, text) for i, (_, text) in enumerate(rows)], "doc_id long, text string")
+    assert {r["doc_id"]: r["licence"] for r in licences.scan(docs).collect()} == dict(enumerate(x for x, _ in rows))
+
+
 def base_spans(text):
     out = []
     for k, (_, pattern, group) in enumerate([("assign", secrets.BASE[0][1], 2), ("access", "AKIA[A-Z0-9]+", 0), ("hex", "[0-9a-f]+", 0)]):
