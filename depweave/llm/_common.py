@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +33,20 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame, nulls_first: bool) -> DataFrame:
+    """docs and `_row`, a number of each row in the order of doc_id: the doc_id itself if none is null or repeated.
+
+    Otherwise rows are sorted, numbered and written; null ids come first or last, and rows of equal id in the order of their texts.
+    """
+    own = F.col("doc_id").cast("long")
+    most = docs.groupBy(own.alias("id")).count().agg(F.max("count").alias("n"), F.max(F.col("id").isNull()).alias("nulls")).first()
+    if (most["n"] or 1) == 1 and not most["nulls"]:
+        return docs.withColumn("_row", own)
+    order = F.asc_nulls_first("doc_id") if nulls_first else F.asc_nulls_last("doc_id")
+    rows = docs.withColumn("_place", F.monotonically_increasing_id()).orderBy(order, "text", "_place").drop("_place")
+    return materialise(rows.withColumn("_row", F.monotonically_increasing_id()))
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all strings of a column and where each starts; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import materialise, table
+from ._common import materialise, numbered, table
 
 #: Distinct keys of a bucket; the directory, of two entries a bucket or so, is what the driver holds.
 CAPACITY = 1024
@@ -188,9 +188,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, one of repeated rows."""
-    dropped = groups(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_dropped")).distinct()
-    return docs.join(dropped, docs["doc_id"] == dropped["_dropped"], "left_anti")
+    """The rows of docs that stay: of equal texts one row, with the largest doc_id; the columns of docs."""
+    rows = numbered(docs, nulls_first=True)
+    dropped = groups(rows, "_row").where(~F.col("kept")).select(F.col("doc_id").alias("_dropped"))
+    return rows.join(dropped, rows["_row"] == dropped["_dropped"], "left_anti").drop("_row")
 
 
 ORACLE = """

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import materialise, mix64, slices, table, utf8
+from ._common import materialise, mix64, numbered, slices, table, utf8
 from ._words import Words, counted
 from .components import merge
 
@@ -221,6 +221,7 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay."""
-    dropped = classes(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_dropped")).distinct()
-    return docs.join(dropped, docs["doc_id"] == dropped["_dropped"], "left_anti")
+    """The rows of docs that stay: of each class one row, with the smallest doc_id; the columns of docs."""
+    rows = numbered(docs, nulls_first=False)
+    dropped = classes(rows, id_col="_row").where(~F.col("kept")).select(F.col("doc_id").alias("_dropped"))
+    return rows.join(dropped, rows["_row"] == dropped["_dropped"], "left_anti").drop("_row")

@@ -241,6 +241,46 @@ def test_bpe(spark, documents):
         assert encoder.encode(t) == (" ".join(map(str, ids)), len(ids), known.decode(ids, skip_special_tokens=False)), t
 
 
+LONG = {x: " ".join(f"{x}{k}" for k in range(120)) for x in "pqrstu"}
+REPEATED = [
+    (1, LONG["p"]), (1, LONG["p"]), (1, LONG["p"]),  # a row three times
+    (None, LONG["q"]), (None, LONG["q"]),  # copies with null ids
+    (2, LONG["r"]), (2, LONG["s"]), (9, LONG["r"].upper()),  # one id, two texts: the first loses to 9 as a copy, the second is alone
+    (None, LONG["t"]), (5, LONG["t"]), (6, LONG["u"]), (6, LONG["u"].upper()), (None, None), (None, ""), (7, "!!!"),
+]
+
+
+def test_exact_deduplicate_leaves_one_of_each_text(spark):
+    docs = spark.createDataFrame(REPEATED, "doc_id long, text string")
+    want = {}
+    for doc_id, text in REPEATED:
+        want.setdefault((text or "").lower(), []).append(-1 if doc_id is None else doc_id)
+    got = exact_dedup.deduplicate(docs)
+    assert got.columns == docs.columns
+    assert sorted(((r["text"] or "").lower(), -1 if r["doc_id"] is None else r["doc_id"]) for r in got.collect()) == sorted((t, max(ids)) for t, ids in want.items())
+
+
+def test_near_deduplicate_leaves_one_of_each_class(spark):
+    changed = lambda x, k: LONG[x].replace(f"{x}{k} ", f"changed{k} ")
+    rows = [*REPEATED, (3, changed("p", 50)), (None, changed("q", 60)), (2, changed("t", 70)), (8, changed("s", 80))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kind = lambda text: next((x for x in "pqrstu" if re.match(f"{x}0 ", (text or "").lower())), "")
+    want = {}
+    for doc_id, text in rows:
+        if kind(text):
+            want.setdefault(kind(text), []).append(99 if doc_id is None else doc_id)
+    got = near_dedup.deduplicate(docs)
+    assert got.columns == docs.columns
+    got = [(kind(r["text"]), 99 if r["doc_id"] is None else r["doc_id"]) for r in got.collect()]
+    assert sorted(x for x in got if x[0]) == sorted((x, min(ids)) for x, ids in want.items())
+    assert len([x for x in got if not x[0]]) == 3  # texts without words are no copies of each other here
+
+
+@pytest.mark.parametrize("stage", [exact_dedup.deduplicate, near_dedup.deduplicate])
+def test_deduplicate_nothing(spark, stage):
+    assert stage(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
 def test_transducer_shares_suffixes():
     words = {f"{a}{b}".encode(): [i] for i, (a, b) in enumerate((a, b) for a in ("un", "re", "in") for b in ("ing", "able", "ation"))}
     block = bpe.compile_words(words)
