@@ -28,8 +28,8 @@ from ._common import materialise, table
 K, EVERY, SCALE = 20, 20, 64
 #: Most rows of a block of candidates and of queries; least number of blocks of candidates, for as many tasks.
 CANDIDATES, QUERIES, LEAST_BLOCKS = 8192, 2048, 24
-#: Depths, as shares of the lists, at which bounds are compared.
-DEPTHS = (0.25, 0.6)
+#: Depths, as shares of the lists, at which bounds are compared; a query that none of them settles reads its lists to their ends.
+DEPTHS = (0.25, 0.6, 0.8, 0.9, 0.95, 0.98)
 
 
 def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
@@ -59,14 +59,13 @@ def _exact_type(q: np.ndarray, x: np.ndarray) -> type:
     return np.float32 if most < 2**24 else np.float64 if most < 2**53 else np.int64
 
 
-def nra(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each query: its id, and ids and scores of the best k candidates of the block, ties to smaller ids. ids ascend."""
+def unsettled(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> list[np.ndarray | None]:
+    """For each query the candidates (rows of x) left when its reading stops, or None if its lists are read to their ends. ids ascend."""
     kind = _exact_type(q, x)
     n = len(ids)
     weights = np.concatenate([np.maximum(q, 0), np.maximum(-q, 0)], axis=1).astype(kind)
     lists = np.concatenate([x, -x], axis=1).astype(kind)
     ordered = -np.sort(-lists, axis=0)  # each list from its largest value
-    exact = x.astype(kind)
     remaining: list[np.ndarray | None] = [None] * len(q)
     active = np.arange(len(q)) if n > 2 * k else np.zeros(0, int)
     for depth in DEPTHS:
@@ -80,13 +79,21 @@ def nra(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int
         low[own] = np.iinfo(np.int64).min // 2 if kind is np.int64 else -np.inf
         kth = np.partition(low, n - k, axis=1)[:, n - k]
         alive = (high >= kth[:, None]) & ~own
-        few = alive.sum(axis=1) <= max(4 * k, n // 16)
+        few = alive.sum(axis=1) <= max(2 * k, n // 16)
         for row in np.flatnonzero(few):
             remaining[active[row]] = np.flatnonzero(alive[row])
         active = active[~few]
+    return remaining
+
+
+def nra(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each query: its id, and ids and scores of the best k candidates of the block, ties to smaller ids. ids ascend."""
+    kind = _exact_type(q, x)
+    exact = x.astype(kind)
+    remaining = unsettled(q_ids, q, ids, x, k)
     # Read to their ends, lists show every candidate whole: bounds and scores are the same.
     whole = np.array([i for i, r in enumerate(remaining) if r is None], int)
-    scores = weights[whole] @ lists.T if len(whole) else None
+    scores = q[whole].astype(kind) @ exact.T if len(whole) else None
     at = {int(i): row for row, i in enumerate(whole)}
     for i, left in enumerate(remaining):
         if left is None:

@@ -154,6 +154,26 @@ def test_top_k_ties():
         assert sorted((-int(b), int(a)) for a, b in zip(found, score)) == want
 
 
+@pytest.mark.parametrize("blocks", [1, 4, 24])
+def test_top_k_bounds_settle_queries(spark, blocks):
+    """Bounds, not a full product, leave few candidates to most queries, and these hold the best."""
+    rows = top_k.quantised(spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")).orderBy("vec_id").toPandas()
+    ids, x = rows.vec_id.to_numpy(), np.array(rows.v.tolist(), np.int64)
+    asks = ids % top_k.EVERY == 0
+    shares, whole = [], 0
+    for part in range(blocks):
+        mine = np.arange(len(ids)) % blocks == part
+        left = top_k.unsettled(ids[asks], x[asks], ids[mine], x[mine], top_k.K)
+        for q_id, q, rest in zip(ids[asks], x[asks], left, strict=True):
+            score = x[mine] @ q
+            order = [i for i in np.lexsort((ids[mine], -score)) if ids[mine][i] != q_id][: top_k.K]
+            whole += rest is None
+            if rest is not None:
+                assert set(order) <= set(rest.tolist())
+                shares.append(len(rest) / mine.sum())
+    assert whole <= 0.1 * blocks * asks.sum() and np.median(shares) < (0.1 if blocks < 24 else 0.6)
+
+
 def near_classes_by_brute_force(docs):
     documents = docs.toPandas()
     idf = near_dedup.idf_table(docs)
