@@ -33,18 +33,36 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def numbered(docs: DataFrame, nulls_first: bool) -> DataFrame:
-    """docs and `_row`, a number of each row in the order of doc_id: the doc_id itself if none is null or repeated.
+def numbered(docs: DataFrame, nulls_first: bool) -> tuple[DataFrame, str, bool]:
+    """docs with a number of each row in the order of doc_id, that column's name, and whether it is the doc_id itself: so if none is null or repeated.
 
     Otherwise rows are sorted, numbered and written; null ids come first or last, and rows of equal id in the order of their texts.
     """
-    own = F.col("doc_id").cast("long")
+    own, name, place = F.col("doc_id").cast("long"), fresh(docs, "_row"), fresh(docs, "_place")
     most = docs.groupBy(own.alias("id")).count().agg(F.max("count").alias("n"), F.max(F.col("id").isNull()).alias("nulls")).first()
     if (most["n"] or 1) == 1 and not most["nulls"]:
-        return docs.withColumn("_row", own)
+        return docs.withColumn(name, own), name, True
     order = F.asc_nulls_first("doc_id") if nulls_first else F.asc_nulls_last("doc_id")
-    rows = docs.withColumn("_place", F.monotonically_increasing_id()).orderBy(order, "text", "_place").drop("_place")
-    return materialise(rows.withColumn("_row", F.monotonically_increasing_id()))
+    rows = docs.withColumn(place, F.monotonically_increasing_id()).orderBy(order, "text", place).drop(place)
+    return materialise(rows.withColumn(name, F.monotonically_increasing_id())), name, False
+
+
+def fresh(docs: DataFrame, name: str) -> str:
+    """A column name like `name` that docs has not got."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def hot_join(rows: DataFrame, one: DataFrame, keys: list[str], n: str, total: int, share: int = 4096) -> DataFrame:
+    """rows.join(one, keys, "left"), `one` having a row for each key and `n`, the number of rows with it, of `total` in all.
+
+    A key with more than 1 / `share` of all rows could fill a task; fewer than `share` keys can have so many, so these are broadcast.
+    """
+    hot = F.broadcast(one.where(F.col(n) * share > total))
+    cold = rows.join(hot.select(keys), keys, "left_anti").join(one.where(F.col(n) * share <= total), keys, "left")
+    return rows.join(hot, keys).unionByName(cold)
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

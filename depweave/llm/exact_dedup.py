@@ -189,9 +189,9 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay: of equal texts one row, with the largest doc_id; the columns of docs."""
-    rows = numbered(docs, nulls_first=True)
-    dropped = groups(rows, "_row").where(~F.col("kept")).select(F.col("doc_id").alias("_dropped"))
-    return rows.join(dropped, rows["_row"] == dropped["_dropped"], "left_anti").drop("_row")
+    rows, row, _ = numbered(docs, nulls_first=True)
+    dropped = groups(rows, row).where(~F.col("kept")).select(F.col("doc_id").alias(row))
+    return rows.join(dropped, row, "left_anti").select([f"`{c}`" for c in docs.columns])
 
 
 ORACLE = """
