@@ -1,7 +1,9 @@
 """Read-only Cypher compiled to DataFrames over nodes(node_id, label, kind, ...) and edges(src, dst, rel).
 
-A node variable is a scan with its label, properties and own conditions pushed in; a fixed relationship two equi-joins; one of
-variable length a frontier of (start, node) pairs.  The grammar has no clause that writes.  `path` is another name of node_id.
+A node variable is a scan with its label, properties and own conditions pushed in; on a variable that is bound already they are filters.
+A fixed relationship is two equi-joins.  One of variable length is a frontier of (start, node) pairs, so each end is one row at its shortest
+distance; in a named path it is all walks, one row each, with their nodes.  OPTIONAL MATCH starts from the bound rows only.
+The grammar has no clause that writes.  `path` is another name of node_id; $name is a parameter.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..operators._shared import written
 
-TOKEN = re.compile(r"""\s*(?:(?P<str>'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*")|(?P<num>\d+\.\d+|\d+(?!\.\.)|\d+)|(?P<id>[A-Za-z_]\w*)|(?P<op><>|<=|>=|=~|<-|->|\.\.|[-()\[\]{}:,.*=<>|+/]))""")
+TOKEN = re.compile(r"""\s*(?:(?P<str>'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*")|(?P<num>\d+\.\d+|\d+(?!\.\.)|\d+)|(?P<id>[A-Za-z_]\w*)|(?P<param>\$[A-Za-z_]\w*)|(?P<op><>|<=|>=|=~|<-|->|\.\.|[-()\[\]{}:,.*=<>|+/%]))""")
 LABELS = ("File", "Function", "Class", "Method")
 AGGREGATES = ("count", "sum", "avg", "min", "max", "collect")
 MOST_HOPS = 10
@@ -58,7 +60,8 @@ class Projection:
 
 
 class Parser:
-    def __init__(self, text: str) -> None:
+    def __init__(self, text: str, params: dict | None = None) -> None:
+        self.params = params or {}
         self.tokens: list[tuple[str, str]] = []
         at, text = 0, text.strip().rstrip(";")
         while at < len(text):
@@ -212,9 +215,15 @@ class Parser:
         return Projection(items, distinct, order, skip, int(self.next("num")) if self.take("LIMIT") else None)
 
     def expr(self) -> tuple:
-        left = self.conjunction()
+        left = self.exclusive()
         while self.take("OR"):
-            left = ("or", left, self.conjunction())
+            left = ("or", left, self.exclusive())
+        return left
+
+    def exclusive(self) -> tuple:
+        left = self.conjunction()
+        while self.take("XOR"):
+            left = ("xor", left, self.conjunction())
         return left
 
     def conjunction(self) -> tuple:
@@ -227,17 +236,36 @@ class Parser:
         return ("not", self.negation()) if self.take("NOT") else self.comparison()
 
     def comparison(self) -> tuple:
-        left = self.atom()
+        left = self.sum()
         for words, op in ((("CONTAINS",), "contains"), (("STARTS", "WITH"), "starts"), (("ENDS", "WITH"), "ends"), (("=~",), "like"), (("<>",), "<>"), (("<=",), "<="), ((">=",), ">="), (("=",), "="), (("<",), "<"), ((">",), ">"), (("IN",), "in")):
             if self.take(*words):
-                return (op, left, self.atom())
+                return (op, left, self.sum())
         if self.take("IS", "NOT", "NULL"):
             return ("not", ("null", left))
         return ("null", left) if self.take("IS", "NULL") else left
 
+    def sum(self) -> tuple:
+        left = self.product()
+        while self.peek("+") or self.peek("-"):
+            left = ("+" if self.take("+") else self.need("-") or "-", left, self.product())
+        return left
+
+    def product(self) -> tuple:
+        left = self.atom()
+        while any(self.peek(x) for x in "*/%"):
+            self.at += 1
+            left = (self.tokens[self.at - 1][1], left, self.atom())
+        return left
+
     def literal(self):
+        if self.at >= len(self.tokens):
+            raise CypherError("a value expected at the end")
         kind, text = self.tokens[self.at]
         self.at += 1
+        if kind == "param":
+            if text[1:] not in self.params:
+                raise CypherError(f"no parameter {text}")
+            return self.params[text[1:]]
         if kind == "str":
             return re.sub(r"\\(.)", r"\1", text[1:-1])
         if kind == "num":
@@ -282,13 +310,14 @@ class Parser:
 class Compiler:
     def __init__(self, nodes: DataFrame, edges: DataFrame) -> None:
         self.nodes, self.edges, self.columns = nodes, edges, nodes.columns
-        self.paths: dict[str, list[str]] = {}
+        self.carried = ["node_id"]  # what the nodes of a named path are asked for
 
-    def run(self, text: str) -> DataFrame:
-        parts, alls = Parser(text).query()
+    def run(self, text: str, params: dict | None = None) -> DataFrame:
+        parts, alls = Parser(text, params).query()
+        asked = {m for m in re.findall(r"\|\s*\w+\.(\w+)", text) if m in self.columns}
+        self.carried = ["node_id", *sorted(asked - {"node_id"})]
         out = None
         for k, part in enumerate(parts):
-            self.paths = {}
             df = self.single(part)
             out = df if out is None else out.union(df) if alls[k - 1] else out.union(df).distinct()
         return out
@@ -325,14 +354,21 @@ class Compiler:
         if kind == "var":
             if df is not None and e[1] in df.columns:
                 return F.col(e[1])
+            if df is not None and f"{e[1]}__nodes" in df.columns:
+                return F.col(f"{e[1]}__nodes")
             own = [c for c in (df.columns if df is not None else []) if c.startswith(f"{e[1]}__")]
             if not own:
                 raise CypherError(f"unknown variable {e[1]}")
             return F.struct(*[F.col(c).alias(c.split("__", 1)[1]) for c in own])
         if kind == "comprehension":
+            if e[3][0] == "var" and e[3][1] == e[1]:
+                return self.expr(e[2], df)
             if e[2][0] != "call" or e[2][1] != "nodes" or e[3][0] != "prop" or e[3][1] != e[1]:
                 raise CypherError("only [v IN nodes(p) | v.prop] is known")
-            return F.array(*[self.column(df, v, e[3][2]) for v in self.paths[e[2][3][0][1]]])
+            prop = "node_id" if e[3][2] == "path" and "path" not in self.columns else e[3][2]
+            if prop not in self.carried:
+                raise CypherError(f"unknown property {e[1]}.{e[3][2]}")
+            return F.transform(self.expr(e[2], df), lambda n: n[prop])
         if kind == "call":
             return self.call(e, df)
         if kind in ("and", "or"):
@@ -342,21 +378,42 @@ class Compiler:
             return ~self.expr(e[1], df)
         if kind == "null":
             return self.expr(e[1], df).isNull()
+        if kind == "xor":
+            return self.expr(e[1], df).cast("boolean") != self.expr(e[2], df).cast("boolean")
         if kind == "in":
-            return self.expr(e[1], df).isin(e[2][1])
+            return self.expr(e[1], df).isin(e[2][1]) if e[2][0] == "list" else F.array_contains(self.expr(e[2], df), self.expr(e[1], df))
+        if kind in ("+", "-", "*", "/", "%"):
+            a, b = self.expr(e[1], df), self.expr(e[2], df)
+            if kind == "+" and "string" in (self.type(a, df), self.type(b, df)):
+                return F.concat(a, b)
+            return {"+": a.__add__, "-": a.__sub__, "*": a.__mul__, "/": a.__truediv__, "%": a.__mod__}[kind](b)
         a, b = self.expr(e[1], df), self.expr(e[2], df)
         return {"contains": a.contains, "starts": a.startswith, "ends": a.endswith, "like": lambda x: a.rlike(f"^(?:{e[2][1]})$"), "=": a.__eq__, "<>": a.__ne__, "<": a.__lt__, "<=": a.__le__, ">": a.__gt__, ">=": a.__ge__}[kind](b)
 
+    @staticmethod
+    def type(value: Column, df: DataFrame | None) -> str:
+        return df.select(value.alias("x")).schema[0].dataType.typeName() if df is not None else ""
+
     def call(self, e: tuple, df: DataFrame) -> Column:
         _, name, distinct, args = e
+        if not args:
+            raise CypherError(f"{name} takes a value")
         if name == "count" and args[0][0] == "star":
             return F.count(F.lit(1))
+        if name in ("label", "labels") and args[0][0] == "var":
+            return self.column(df, args[0][1], "label")
         x = self.key(args[0], df) if name in ("count", "collect") else self.expr(args[0], df)
+        if name == "size":
+            return F.size(x) if self.type(x, df) == "array" else F.length(x)
+        if name in ("nodes", "length"):
+            if args[0][0] != "var" or f"{args[0][1]}__nodes" not in df.columns:
+                raise CypherError(f"{name} takes a named path")
+            return x if name == "nodes" else F.size(x) - 1
         if name == "count":
             return F.count_distinct(x) if distinct else F.count(x)
         if name == "collect":
             return F.sort_array(F.collect_set(x) if distinct else F.collect_list(x))
-        known = {"sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max, "tolower": F.lower, "toupper": F.upper, "size": F.length, "labels": lambda c: c}
+        known = {"sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max, "tolower": F.lower, "toupper": F.upper, "lower": F.lower, "upper": F.upper, "abs": F.abs}
         if name not in known:
             raise CypherError(f"unknown function {name}")
         return known[name](x)
@@ -371,12 +428,15 @@ class Compiler:
 
     # Clauses.
     def scan(self, node: Node) -> DataFrame:
-        rows = self.nodes
+        return self.such(self.nodes.select(*[F.col(c).alias(f"{node.var}__{c}") for c in self.columns]), node)
+
+    def such(self, df: DataFrame, node: Node) -> DataFrame:
+        """Rows whose node has the label and the properties."""
         if node.label:
-            rows = rows.where(F.col("label") == node.label) if node.label in LABELS else rows.where(F.col("kind") == node.label)
+            df = df.where(self.column(df, node.var, "label" if node.label in LABELS else "kind") == node.label)
         for k, v in node.props.items():
-            rows = rows.where(F.col("node_id" if k == "path" and "path" not in self.columns else k) == F.lit(v))
-        return rows.select(*[F.col(c).alias(f"{node.var}__{c}") for c in self.columns])
+            df = df.where(self.column(df, node.var, k) == F.lit(v))
+        return df
 
     def conditions(self, e: tuple | None) -> list[tuple]:
         return [] if e is None else self.conditions(e[1]) + self.conditions(e[2]) if e[0] == "and" else [e]
@@ -388,13 +448,13 @@ class Compiler:
 
     def match(self, df: DataFrame | None, clause: Match) -> DataFrame:
         if clause.optional and df is not None:
-            right = self.match(None, Match(clause.paths, clause.where, False))
-            shared = [c for c in right.columns if c in df.columns]
-            keys = [c for c in shared if c.endswith("__node_id")]
+            used = {p.var for _, parts in clause.paths for p in parts} | self.variables(clause.where)
+            shared = [c for c in df.columns if c.split("__")[0] in used]
+            seeds = df.select(shared).distinct() if shared else None
+            right = self.match(seeds, Match(clause.paths, clause.where, False))
+            keys = [c for c in shared if c.endswith("__node_id") or "__" not in c]
             right = right.select(*[F.col(c).alias(f"_r_{c}") if c in shared else F.col(c) for c in right.columns])
-            if not keys:
-                return df.join(right, F.lit(True), "left")
-            out = df.join(right, [F.col(c) == F.col(f"_r_{c}") for c in keys], "left")
+            out = df.join(right, [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in keys] if keys else F.lit(True), "left")
             return out.drop(*[f"_r_{c}" for c in shared])
         todo = self.conditions(clause.where)
         single = {}
@@ -412,19 +472,26 @@ class Compiler:
             first = parts[0]
             if df is None:
                 df = rows(first)
-            elif f"{first.var}__node_id" not in df.columns:
+            elif f"{first.var}__node_id" in df.columns:
+                df = self.such(df, first)
+            else:
                 df = df.crossJoin(rows(first))  # two patterns without a common variable are a product in Cypher
-            left = first
+            left, walked = first, [self.here(first.var)]
             for rel, node in zip(parts[1::2], parts[2::2], strict=True):
-                df = self.step(df, left, rel, node, rows)
+                df = self.step(df, left, rel, node, rows, f"{name}__w{len(walked)}" if name and rel.hops else None)
+                walked.append(F.col(f"{name}__w{len(walked)}") if name and rel.hops else self.here(node.var))
                 left = node
             if name:
-                self.paths[name] = [n.var for n in parts[::2]]
+                df = df.withColumn(f"{name}__nodes", F.concat(*walked)).drop(*[f"{name}__w{k}" for k in range(len(walked))])
         for c in todo:
             df = df.where(self.expr(c, df))
         return df
 
-    def step(self, df: DataFrame, left: Node, rel: Rel, node: Node, rows) -> DataFrame:
+    def here(self, var: str) -> Column:
+        """The node as a path of its own."""
+        return F.array(F.struct(*[F.col(f"{var}__{c}").alias(c) for c in self.carried]))
+
+    def step(self, df: DataFrame, left: Node, rel: Rel, node: Node, rows, walk: str | None) -> DataFrame:
         edges = self.edges if rel.type is None else self.edges.where(F.col("rel") == rel.type)
         a, b = F.col("src"), F.col("dst")
         pairs = edges.select(a.alias("_a"), b.alias("_b"), F.col("rel").alias(f"{rel.var}__rel"))
@@ -432,12 +499,28 @@ class Compiler:
         pairs = {"out": pairs, "in": back}[rel.direction] if rel.direction != "both" else pairs.union(back)
         start = f"{left.var}__node_id"
         if rel.hops:
-            pairs = self.expanded(pairs.select("_a", "_b").distinct(), df.select(F.col(start).alias("_a")).distinct(), *rel.hops)
+            starts = df.select(F.col(start).alias("_a")).distinct()
+            pairs = self.walks(pairs.select("_a", "_b"), starts, *rel.hops, walk) if walk else self.expanded(pairs.select("_a", "_b").distinct(), starts, *rel.hops)
         df = df.join(pairs, F.col(start) == F.col("_a")).drop("_a")
         if f"{node.var}__node_id" in df.columns:
-            return df.where(F.col("_b") == F.col(f"{node.var}__node_id")).drop("_b")
+            return self.such(df.where(F.col("_b") == F.col(f"{node.var}__node_id")).drop("_b"), node)
         return df.join(rows(node), F.col("_b") == F.col(f"{node.var}__node_id")).drop("_b")
 
+    def walks(self, pairs: DataFrame, starts: DataFrame, least: int, most: int, name: str) -> DataFrame:
+        """(_a, _b, name): every walk of least to most hops from the starts, and the nodes it goes through after its start."""
+        pairs = written(pairs)
+        nodes = self.nodes.select(F.col("node_id").alias("_n"), F.struct(*self.carried).alias("_node"))
+        now = written(starts.select("_a", F.col("_a").alias("_b"), F.lit(None).cast(f"array<{nodes.schema['_node'].dataType.simpleString()}>").alias(name)))
+        out = None if least else now.withColumn(name, F.array().cast(now.schema[name].dataType))
+        for hop in range(1, most + 1):
+            step = now.select("_a", F.col("_b").alias("_at"), name).join(pairs.withColumnRenamed("_a", "_at"), "_at").join(nodes, F.col("_b") == F.col("_n"))
+            now = written(step.select("_a", "_b", F.concat(F.coalesce(F.col(name), F.array().cast(now.schema[name].dataType)), F.array("_node")).alias(name)))
+            if hop >= least:
+                out = now if out is None else out.union(now)
+            if now.isEmpty():
+                break
+        return out if out is not None else now.limit(0)
+
     @staticmethod
     def expanded(pairs: DataFrame, starts: DataFrame, least: int, most: int) -> DataFrame:
         """(_a, _b) at a shortest distance from least to most hops, ends that differ."""
@@ -452,7 +535,8 @@ class Compiler:
             seen = written(seen.unionByName(frontier.withColumn("d", F.lit(hop))))
         return seen.where(F.col("d").between(least, most) & (F.col("d") > 0)).select(F.col("s").alias("_a"), F.col("n").alias("_b"))
 
-    def project(self, df: DataFrame, p: Projection) -> DataFrame:
+    def project(self, df: DataFrame | None, p: Projection) -> DataFrame:
+        df = df if df is not None else self.nodes.sparkSession.range(1).select()
         whole = lambda e: e[0] == "var" and e[1] not in df.columns
 
         def passed(e: tuple, name: str) -> list[Column]:
@@ -490,6 +574,6 @@ class Compiler:
         return out if p.where is None else out.where(self.expr(p.where, out))
 
 
-def query(nodes: DataFrame, edges: DataFrame, text: str) -> DataFrame:
+def query(nodes: DataFrame, edges: DataFrame, text: str, params: dict | None = None) -> DataFrame:
     """The rows that a Cypher text returns. Raises CypherError for anything but reading clauses."""
-    return Compiler(nodes, edges).run(text)
+    return Compiler(nodes, edges).run(text, params)

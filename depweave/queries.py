@@ -94,9 +94,12 @@ def g_missing_paths(spark, sf_dir):
     return graph.missing(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node_id")), spark.range(0, 30000, 7).withColumnRenamed("id", "node_id"))
 
 
-@query(f"WITH {GEO}, t AS (SELECT node_id FROM nodes ORDER BY CASE WHEN kind = 'file' THEN 0 ELSE 1 END, node_id LIMIT 500) SELECT src, dst FROM edges WHERE src IN (SELECT node_id FROM t) AND dst IN (SELECT node_id FROM t)")
+@query(f"""WITH {GEO}, k AS (SELECT node_id, kind IN ('region', 'nation') AS file FROM nodes), t AS (SELECT node_id FROM k ORDER BY CASE WHEN file THEN 0 ELSE 1 END, node_id LIMIT 500)
+   SELECT src, dst FROM edges WHERE src IN (SELECT node_id FROM t) AND dst IN (SELECT node_id FROM t)""")
 def g_truncated_edges(spark, sf_dir):
+    """Regions and nations stand for files."""
     nodes, edges = geo(spark, sf_dir)
+    nodes = nodes.withColumn("kind", F.when(F.col("kind").isin("region", "nation"), "file").otherwise(F.col("kind")))
     return graph.induced(edges.select("src", "dst"), graph.truncated(nodes, 500))
 
 
@@ -149,7 +152,7 @@ def g_language_hist(spark, sf_dir):
 CYPHER = {
     "c_match_prop": ("MATCH (a {name: 'ASIA'})-[r:CONTAINS]->(b:nation) RETURN b.node_id AS id, b.name AS name, r.type AS type", "SELECT b.node_id AS id, b.name, rel AS type FROM nodes a JOIN edges ON a.node_id = src JOIN nodes b ON b.node_id = dst WHERE a.name = 'ASIA' AND b.kind = 'nation'"),
     "c_where_contains": ("MATCH (n) WHERE n.name CONTAINS 'A' RETURN n.node_id AS id", "SELECT node_id AS id FROM nodes WHERE contains(name, 'A')"),
-    "c_where_starts": ("MATCH (n:Class) WHERE n.name STARTS WITH 'I' RETURN n.name AS name", "SELECT name FROM nodes WHERE label = 'Class' AND starts_with(name, 'I')"),
+    "c_where_starts": ("MATCH (n:Class) WHERE n.name STARTS WITH 'NATION_1' RETURN n.name AS name", "SELECT name FROM nodes WHERE label = 'Class' AND starts_with(name, 'NATION_1')"),
     "c_where_ends": ("MATCH (n) WHERE n.path ENDS WITH '7' RETURN n.path AS id", "SELECT node_id AS id FROM nodes WHERE ends_with(node_id, '7')"),
     "c_where_or_in": ("MATCH (n) WHERE n.kind IN ['region', 'nation'] AND (n.name = 'ASIA' OR NOT n.name CONTAINS 'A') RETURN n.name AS name", "SELECT name FROM nodes WHERE kind IN ('region', 'nation') AND (name = 'ASIA' OR NOT contains(name, 'A'))"),
     "c_return_alias_order_limit": ("MATCH (n:customer) RETURN n.node_id AS id, n.size AS size ORDER BY size DESC, id LIMIT 20", "SELECT node_id AS id, size FROM nodes WHERE kind = 'customer' ORDER BY size DESC, id LIMIT 20"),
@@ -162,6 +165,9 @@ CYPHER = {
     "c_chain_2rel": ("MATCH (a:region)-[:CONTAINS]->(b)-[:CONTAINS]->(c:supplier) RETURN a.name AS a, b.name AS b, c.name AS c", "SELECT a.name AS a, b.name AS b, c.name AS c FROM nodes a JOIN edges e ON a.node_id = e.src JOIN nodes b ON b.node_id = e.dst JOIN edges f ON f.src = b.node_id JOIN nodes c ON c.node_id = f.dst WHERE a.kind = 'region' AND c.kind = 'supplier'"),
     "c_varlength_typed": ("MATCH (a {name: 'EUROPE'})-[:CONTAINS*1..2]->(b) RETURN b.node_id AS id", "SELECT dst AS id FROM edges JOIN nodes ON node_id = src WHERE name = 'EUROPE' UNION SELECT f.dst FROM edges e JOIN nodes ON node_id = e.src JOIN edges f ON f.src = e.dst WHERE name = 'EUROPE'"),
     "c_reverse": ("MATCH (b:supplier)<-[:CONTAINS]-(a) RETURN a.name AS a, b.name AS b", "SELECT a.name AS a, b.name AS b FROM nodes a JOIN edges ON a.node_id = src JOIN nodes b ON b.node_id = dst WHERE b.kind = 'supplier'"),
+    "c_bound_label": ("MATCH (x)-[]->(y) MATCH (y:nation)-[]->(z:supplier {kind: 'supplier'}) RETURN x.name AS x, y.name AS y, z.name AS z", "SELECT x.name AS x, y.name AS y, z.name AS z FROM nodes x JOIN edges e ON x.node_id = e.src JOIN nodes y ON y.node_id = e.dst JOIN edges f ON y.node_id = f.src JOIN nodes z ON z.node_id = f.dst WHERE y.kind = 'nation' AND z.kind = 'supplier'"),
+    "c_in_variable": ("MATCH (a:region)-[]->(b) WITH a.name AS name, collect(b.node_id) AS ids MATCH (c:nation) WHERE c.node_id IN ids RETURN name, c.name AS nation, size(ids) AS n", "SELECT a.name, c.name AS nation, CAST(count(*) OVER (PARTITION BY a.name) AS INT) AS n FROM nodes a JOIN edges ON a.node_id = src JOIN nodes c ON c.node_id = dst WHERE a.kind = 'region'"),
+    "c_xor_arithmetic": ("MATCH (n:customer) WHERE n.size > 5000 XOR n.name ENDS WITH '7' RETURN n.node_id AS id, n.size * 2 + 1 AS twice", "SELECT node_id AS id, size * 2 + 1 AS twice FROM nodes WHERE kind = 'customer' AND (size > 5000) <> ends_with(name, '7')"),
     "c_unwind": ("UNWIND [1, 2, 3] AS x RETURN x", "SELECT CAST(unnest([1, 2, 3]) AS INT) AS x"),
 }
 
@@ -177,6 +183,13 @@ for _name, (_text, _equal) in CYPHER.items():
     _out[_name], _sql[_name] = _cypher(_text), f"WITH {GEO} {_equal}"
 
 
+@query(f"""WITH {GEO} SELECT a.name || '>' || b.name AS chain FROM nodes a JOIN edges ON a.node_id = src JOIN nodes b ON b.node_id = dst WHERE a.kind = 'region'
+   UNION ALL SELECT a.name || '>' || b.name || '>' || c.name FROM nodes a JOIN edges e ON a.node_id = e.src JOIN nodes b ON b.node_id = e.dst JOIN edges f ON b.node_id = f.src JOIN nodes c ON c.node_id = f.dst WHERE a.kind = 'region'""")
+def c_path_names(spark, sf_dir):
+    rows = cypher.query(*geo(spark, sf_dir), "MATCH p = (a:region)-[:CONTAINS*1..2]->(b) RETURN [n IN nodes(p) | n.name] AS names")
+    return rows.select(F.array_join("names", ">").alias("chain"))
+
+
 @query(f"WITH {GEO} SELECT a.name AS name, string_agg(b.name, ',' ORDER BY b.name) AS names FROM nodes a JOIN edges ON a.node_id = src JOIN nodes b ON b.node_id = dst WHERE a.kind = 'region' GROUP BY a.name")
 def c_collect(spark, sf_dir):
     rows = cypher.query(*geo(spark, sf_dir), "MATCH (a:region)-[]->(b) RETURN a.name AS name, collect(b.name) AS names")

@@ -103,3 +103,38 @@ def test_store(spark, tmp_path):
     store.save("/repo", nodes.where("node_id = 'src/b.py'"), links.limit(0))
     assert [r["node_id"] for r in store.load("/repo")[0].collect()] == ["src/b.py"]
     assert store.delete("/repo") and store.load("/repo") is None and store.load("/other") is not None
+
+
+def chain_graph(spark):
+    nodes = [("a", "File", "file", "A", 1), ("b", "Class", "class", "B", 2), ("c", "Function", "function", "C", 3), ("d", "Function", "function", "D", 4)]
+    return spark.createDataFrame(nodes, "node_id string, label string, kind string, name string, size int"), spark.createDataFrame([("a", "b", "CALLS"), ("b", "c", "CALLS"), ("c", "d", "CALLS"), ("d", "b", "CALLS")], "src string, dst string, rel string")
+
+
+CYPHER = [
+    ("MATCH (x)-[]->(y) MATCH (y:Class)-[]->(z) RETURN x.name, z.name", [("A", "C"), ("D", "C")]),
+    ("MATCH (x)-[]->(y) MATCH (y {name: 'zzz'}) RETURN x.name", []),
+    ("MATCH (x)-[]->(y) MATCH (y {name: 'D'}) RETURN x.name", [("C",)]),
+    ("MATCH p = (x {name: 'A'})-[:CALLS*3..3]->(y) RETURN [n IN nodes(p) | n.path] AS p", [(["a", "b", "c", "d"],)]),
+    ("MATCH p = (x {name: 'A'})-[:CALLS*2..4]->(y) RETURN [n IN nodes(p) | n.name] AS p, length(p) AS n", [(["A", "B", "C"], 2), (["A", "B", "C", "D"], 3), (["A", "B", "C", "D", "B"], 4)]),
+    ("MATCH p = (x {name: 'A'})-[]->(y)-[:CALLS*1..1]->(z) RETURN [n IN nodes(p) | n.size] AS p", [([1, 2, 3],)]),
+    ("MATCH (x) WITH collect(x.name) AS l MATCH (y) WHERE y.name IN l RETURN count(*) AS n, size(l) AS s", [(4, 4)]),
+    ("MATCH (x) RETURN labels(x) AS l, count(*) AS n", [("Class", 1), ("File", 1), ("Function", 2)]),
+    ("RETURN 1 AS one", [(1,)]),
+    ("MATCH (x) WHERE x.size > 2 XOR x.name = 'D' RETURN x.size + 10 AS s, x.name + '!' AS t", [(13, "C!")]),
+    ("MATCH (x {name: $who}) RETURN x.size AS s", [(2,)]),
+    ("MATCH (x {kind: 'function'}) OPTIONAL MATCH (x)-[:CALLS*1..2]->(y:Class) RETURN x.name, y.name", [("C", "B"), ("D", "B")]),
+    ("MATCH (x) OPTIONAL MATCH (x)-[]->(y:Function) WHERE y.size > x.size RETURN x.name, y.name", [("A", None), ("B", "C"), ("C", "D"), ("D", None)]),
+    ("MATCH (x) WHERE x.name = 'A' OR x.name = 'B' RETURN x.name, size(x.name) AS n ORDER BY x.name DESC", [("A", 1), ("B", 1)]),
+]
+
+
+@pytest.mark.parametrize(("text", "want"), CYPHER)
+def test_cypher(spark, text, want):
+    got = cypher.query(*chain_graph(spark), text, {"who": "B"}).collect()
+    assert sorted((tuple(r) for r in got), key=repr) == sorted(want, key=repr)
+
+
+def test_cypher_refuses(spark):
+    for text in ("MATCH (x) SET x.name = 1 RETURN x", "MATCH (x {name: $nobody}) RETURN x", "CREATE (x)", "MATCH (x) RETURN"):
+        with pytest.raises(cypher.CypherError):
+            cypher.query(*chain_graph(spark), text)
