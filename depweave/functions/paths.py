@@ -12,7 +12,7 @@ SKIPPED = ["vendor", "node_modules", ".git", "__pycache__", ".venv", "venv", "di
 
 def language(path: Column) -> Column:
     names = F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv])
-    return F.element_at(names, F.lower(F.regexp_extract(path, r"(\.[A-Za-z]+)$", 1)))
+    return F.element_at(names, F.regexp_extract(path, r"(\.[A-Za-z]+)$", 1))
 
 
 def skipped(path: Column) -> Column:
@@ -29,11 +29,24 @@ def repo_hash(root: Column) -> Column:
 
 def constant_name(association: Column) -> Column:
     """The class that an association's name stands for: id suffix off, singular, words capitalised and joined."""
-    base = F.regexp_replace(association, "_ids?$", "")
-    one = (
-        F.when(base.rlike("ies$"), F.regexp_replace(base, "ies$", "y"))
-        .when(base.rlike("(ss|x|ch|sh)es$"), F.regexp_replace(base, "es$", ""))
-        .when(base.rlike("[^s]s$"), F.regexp_replace(base, "s$", ""))
-        .otherwise(base)
-    )
-    return F.array_join(F.transform(F.split(one, "_"), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1000))), "")
+    stem = F.regexp_replace(association, "_ids?$", "")
+    one = F.when(stem.rlike("ies$"), F.regexp_replace(stem, "ies$", "y")).when(stem.rlike("[sxz]es$"), F.regexp_replace(stem, "es$", "")).otherwise(F.regexp_replace(stem, "(?<!s)s$", ""))
+    return F.array_join(F.transform(F.split(one, "_"), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1 << 20)))), "")
+
+
+def capitalised(name: Column) -> Column:
+    """Whether a name looks like a class's."""
+    return name.rlike("^[A-Z]")
+
+
+def distinct_refs(refs: Column) -> Column:
+    """The distinct names of an array, in order."""
+    return F.array_sort(F.array_distinct(refs))
+
+
+def translated(path: str, prefixes: dict[str, str]) -> str:
+    """A path of another machine as this one sees it: the longest prefix that it lies below is replaced."""
+    for prefix in sorted(prefixes, key=len, reverse=True):
+        if path == prefix or path.startswith(prefix.rstrip("/") + "/"):
+            return prefixes[prefix].rstrip("/") + path[len(prefix.rstrip("/")) :]
+    return path

@@ -86,12 +86,25 @@ def resolve(wanted: DataFrame, known: DataFrame) -> DataFrame:
     return each.join(known.select("target").distinct(), "target").groupBy("ref").agg(F.min(F.struct("place", "target")).alias("b")).select("ref", F.col("b.target").alias("target"))
 
 
-def suffix_match(refs: DataFrame, names: DataFrame) -> DataFrame:
-    """(ref, symbol): a reference's exact name, else the least symbol whose last dotted segment it is; two equi-joins. names: name, symbol."""
-    exact = refs.join(names, refs["ref"] == names["name"]).groupBy("ref").agg(F.min("symbol").alias("exact"))
-    last = names.select(F.substring_index("name", ".", -1).alias("ref"), "symbol").where(F.lit(True))
-    tail = last.join(refs.select("ref").distinct(), "ref").groupBy("ref").agg(F.min("symbol").alias("tail"))
-    return refs.select("ref").distinct().join(exact, "ref", "left").join(tail, "ref", "left").select("ref", F.coalesce("exact", "tail").alias("symbol")).where("symbol is not null")
+def suffix_match(refs: DataFrame, names: DataFrame, by: list[str] | None = None, order: list[str] | None = None) -> DataFrame:
+    """refs and the `symbol` of the name that equals `ref`, else of one whose last dotted segment it is; refs without any are left out.
+
+    refs: by, ref, ...; names: by, name, symbol. Of several the first by `order` (columns of names), then the least symbol stays, but
+    never one that equals a `src` of refs. One equi-join on the name or its last segment does both.
+    """
+    by, order = by or [], order or []
+    key = lambda ref, partly: names.select(*by, ref.alias("ref"), F.struct(F.lit(partly).alias("partly"), *order, "symbol").alias("_best"))
+    keys = key(F.col("name"), False).union(key(F.substring_index("name", ".", -1), True).where("name like '%.%'"))
+    both = refs.join(keys, [*by, "ref"])
+    both = both.where(F.col("_best.symbol") != F.col("src")) if "src" in refs.columns else both
+    return both.groupBy(*refs.columns).agg(F.min("_best").alias("_best")).select(*refs.columns, F.col("_best.symbol").alias("symbol"))
+
+
+def definers(symbols: DataFrame) -> DataFrame:
+    """(name, first, first_script, symbol, symbol_file): the first file, and script, in order of paths that defines a name, and the symbol of its last definer. symbols: file, language, place, name, node_id."""
+    script = F.when(F.col("language").isin("typescript", "javascript"), F.col("file"))
+    found = symbols.groupBy("name").agg(F.min("file").alias("first"), F.min(script).alias("first_script"), F.max(F.struct("file", "place", "node_id")).alias("last"))
+    return found.select("name", "first", "first_script", F.col("last.node_id").alias("symbol"), F.col("last.file").alias("symbol_file"))
 
 
 def repo_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:

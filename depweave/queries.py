@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .functions import paths
 from .operators import graph, search, traverse
 from .plans import cypher
+from .sources import repository
 from .sources.tables import geo, page_links, part_edges, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -269,6 +270,79 @@ def i_candidate_resolution(spark, sf_dir):
     return graph.resolve(wanted, table(spark, sf_dir, "part").select(F.col("p_partkey").alias("target")))
 
 
+ASSOCIATION = "concat(replace(lower(p_type), ' ', '_'), CASE p_partkey % 5 WHEN 0 THEN 'ies' WHEN 1 THEN 'xes' WHEN 2 THEN '_ids' WHEN 3 THEN 'ss' ELSE 's' END)"
+
+
+@query(f"""WITH a AS (SELECT p_partkey, {ASSOCIATION} AS name FROM part), b AS (SELECT p_partkey, regexp_replace(name, '_ids?$', '') AS s FROM a),
+   c AS (SELECT p_partkey, CASE WHEN s LIKE '%ies' THEN left(s, -3) || 'y' WHEN regexp_matches(s, '[sxz]es$') THEN left(s, -2) WHEN s LIKE '%s' AND NOT s LIKE '%ss' THEN left(s, -1) ELSE s END AS s FROM b)
+   SELECT p_partkey AS id, array_to_string(list_transform(string_split(s, '_'), lambda w: upper(w[1]) || lower(w[2:])), '') AS constant FROM c""")
+def i_assoc_to_const(spark, sf_dir):
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), paths.constant_name(F.expr(ASSOCIATION)).alias("constant"))
+
+
+@query("""WITH n AS (SELECT CASE WHEN p_partkey % 2 = 0 THEN p_type || '.' || p_brand ELSE p_brand END AS name, p_partkey AS symbol FROM part), r AS (SELECT p_brand AS ref FROM part UNION SELECT p_type || '.' || p_brand FROM part),
+   e AS (SELECT name AS ref, min(symbol) AS symbol FROM n GROUP BY name), t AS (SELECT string_split(name, '.')[-1] AS ref, min(symbol) AS symbol FROM n WHERE contains(name, '.') GROUP BY 1)
+   SELECT ref, coalesce(e.symbol, t.symbol) AS symbol FROM r LEFT JOIN e USING (ref) LEFT JOIN t USING (ref) WHERE coalesce(e.symbol, t.symbol) IS NOT NULL""")
+def i_suffix_match(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    dotted = F.concat_ws(".", "p_type", "p_brand")
+    names = part.select(F.when(F.col("p_partkey") % 2 == 0, dotted).otherwise(F.col("p_brand")).alias("name"), F.col("p_partkey").alias("symbol"))
+    return graph.suffix_match(part.select(F.col("p_brand").alias("ref")).union(part.select(dotted.alias("ref"))).distinct(), names)
+
+
+#: Source files of which the indexer's results are known.
+FILES = {
+    "app/main.py": ("python", "import os\n\nclass Main:\n    def run(self):\n        pass\n\ndef go():\n    Main()\n"),
+    "web/user.ts": ("typescript", "export class User {\n  load(id: string): Profile { return get(id) }\n}\nfunction get(id) { return new Cache() }\nconst f = function no() {}\n"),
+    "rb/post.rb": ("ruby", "module Blog\n  class Post < Base\n    include Searchable\n    has_many :comments\n    before_save :slug\n    enum status: [:draft]\n    def save\n      Audit.log\n    end\n    def self.build = new\n  end\nend\n"),
+    "db/schema.sql": ("sql", 'CREATE TABLE "public"."users" (\n  id INT PRIMARY KEY,\n  name VARCHAR(20),\n  PRIMARY KEY (id)\n);\nCREATE TABLE posts (\n  id int,\n  FOREIGN KEY (id) REFERENCES users (id)\n);\n'),
+}
+
+
+def _parsed(spark, kinds: str) -> DataFrame:
+    sources = spark.createDataFrame([(f, *x) for f, x in FILES.items()], "file string, language string, content string")
+    return repository.parsed(sources).where(f"fact = 'node' and {kinds}")
+
+
+def _values(columns: str, *rows: tuple) -> str:
+    return f"SELECT * FROM (VALUES {', '.join(str(r).replace('None', 'NULL') for r in rows)}) AS t({columns})"
+
+
+@query(_values("node_id, kind, name, start_line", ("app/main.py#class:Main", "class", "Main", 3), ("app/main.py#method:Main.run", "method", "run", 4), ("app/main.py#function:go", "function", "go", 7)))
+def i_python_symbols(spark, sf_dir):
+    return _parsed(spark, "file like '%.py'").select("node_id", "kind", "name", F.col("start_line").cast("int").alias("start_line"))
+
+
+@query(_values("node_id, kind, is_exported, refs", ("web/user.ts#class:User", "class", True, ""), ("web/user.ts#method:User.load", "method", False, "Profile"), ("web/user.ts#function:get", "function", False, "Cache")))
+def i_ts_symbols(spark, sf_dir):
+    return _parsed(spark, "file like '%.ts'").select("node_id", "kind", "is_exported", F.concat_ws(",", paths.distinct_refs(F.col("scope_refs"))).alias("refs"))
+
+
+@query(_values("node_id, kind, owner_name, refs", ("rb/post.rb#module:Blog", "module", None, ""), ("rb/post.rb#class:Blog::Post", "class", None, ""), ("rb/post.rb#method:Blog::Post.save", "method", "Blog::Post", "Audit"), ("rb/post.rb#method:Blog::Post.build", "class_method", "Blog::Post", "")))
+def i_ruby_symbols(spark, sf_dir):
+    return _parsed(spark, "file like '%.rb' and dsl_macro is null").select("node_id", "kind", "owner_name", F.concat_ws(",", paths.distinct_refs(F.col("scope_refs"))).alias("refs"))
+
+
+@query(_values("node_id, kind, macro", ("rb/post.rb#mixin:include:Searchable", "mixin", "include"), ("rb/post.rb#association:has_many:comments", "association", "has_many"), ("rb/post.rb#hook:before_save:slug", "hook", "before_save"), ("rb/post.rb#enum:status", "enum", "enum")))
+def i_ruby_dsl(spark, sf_dir):
+    return _parsed(spark, "dsl_macro is not null").select("node_id", "kind", F.col("dsl_macro").alias("macro"))
+
+
+@query(_values("node_id, columns", ("db/schema.sql#db_table:users", "id int, name varchar(20)"), ("db/schema.sql#db_table:posts", "id int")))
+def i_sql_columns(spark, sf_dir):
+    return _parsed(spark, "kind = 'db_table'").select("node_id", F.col("content").alias("columns"))
+
+
+@query(f"WITH {_bm25_sql()} SELECT id, CAST(rank AS INT) AS rank FROM {_rank('bm', 60)}")
+def s_bm25_rank(spark, sf_dir):
+    return search.top(search.bm25(table(spark, sf_dir, "documents"), TERMS, "doc_id", "text"), search.overfetch(20)).select("id", "rank")
+
+
+@query("SELECT CAST(range AS INT) AS n, CAST(greatest(3 * range, 50) AS INT) AS fetched FROM range(1, 41)")
+def s_overfetch(spark, sf_dir):
+    return spark.createDataFrame([(n, search.overfetch(n)) for n in range(1, 41)], "n int, fetched int")
+
+
 def queries() -> dict[str, Query]:
     return dict(_out)
 

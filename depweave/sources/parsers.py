@@ -1,8 +1,8 @@
 """What one source file says, as flat facts; files are parsed apart from each other, so facts of many files are one distributed pass.
 
-Facts: `file` (the start of its text), `import` (candidates: paths in order of preference), `node`, `edge` (src, dst, rel) and `call` (src: caller, name: callee).
-Python is parsed by the standard library's ast, SQL and the imports of TypeScript, JavaScript and Ruby by patterns over text without comments.
-A file that can't be parsed has no facts but `file`. Symbols of TypeScript, JavaScript and Ruby are not extracted.
+Facts: `file` (the start of its text), `import` (candidates: paths in order of preference), `node`, `edge` (src, dst, rel), `symbol` (name by which
+other files find node_id), `ref` (src, name, how: inherits, uses or calls) and `call` (src: caller, name: callee, how: imported or anywhere).
+Python is parsed by the standard library's ast, the others by scanners of their own. A file that can't be parsed has no facts but `file`.
 """
 
 from __future__ import annotations
@@ -12,10 +12,11 @@ import posixpath
 import re
 from collections.abc import Callable, Iterator
 
-#: Characters of a symbol's and of a file's content, columns of a table's summary, endings tried for a TypeScript import, words that start no column.
-CONTENT, FILE_CONTENT, COLUMNS = 8000, 2000, 50
+from . import ddl, ruby, script
+
+#: Characters of a symbol's and of a file's content, endings tried for a TypeScript import.
+CONTENT, FILE_CONTENT = 8000, 2000
 SCRIPT_ENDINGS = ["", ".ts", ".tsx", ".js", ".jsx", "/index.ts", "/index.tsx", "/index.js"]
-NO_COLUMN = {"CONSTRAINT", "PRIMARY", "UNIQUE", "INDEX", "KEY", "CHECK", "FOREIGN", "EXCLUDE", "TABLESPACE"}
 
 Fact = dict
 
@@ -80,7 +81,9 @@ def _python(file: str, text: str, symbols: bool) -> Iterator[Fact]:
         kinds = [kind for kind, name in sorted(top, reverse=True) if name == body.name]
         called = {n.func.id for n in ast.walk(body) if isinstance(n, ast.Call) and isinstance(n.func, ast.Name)}
         for name in sorted(called) if kinds else ():
-            yield {"fact": "call", "src": f"{file}#{kinds[0]}:{body.name}", "name": name}
+            yield {"fact": "call", "src": f"{file}#{kinds[0]}:{body.name}", "name": name, "how": "imported"}
+    for kind, name in sorted(top):
+        yield {"fact": "symbol", "name": name, "node_id": f"{file}#{kind}:{name}"}
 
 
 #: Comments and strings are matched as a whole, so what they hold is no import.
@@ -99,6 +102,8 @@ def _script(file: str, text: str, symbols: bool) -> Iterator[Fact]:
             continue
         base = posixpath.join(posixpath.dirname(file), path)
         yield _import([base + ending for ending in SCRIPT_ENDINGS])
+    if symbols:
+        yield from script.symbols(file, text)
 
 
 _RUBY_IMPORT = re.compile(r"""^(?:[^#\n"']|"[^"\n]*"|'[^'\n]*')*?\b(require_relative|require_dependency|require|autoload)\b[ \t(]+(?::\w+\s*,\s*)?["']([^"'#\n]+)["']""", re.M)
@@ -108,45 +113,13 @@ def _ruby(file: str, text: str, symbols: bool) -> Iterator[Fact]:
     for how, path in _RUBY_IMPORT.findall(text):
         base = posixpath.join(posixpath.dirname(file), path) if how == "require_relative" else path
         yield _import([base, f"{base}.rb"])
-
-
-_NAME = r"""(?:"[^"]*"|`[^`]*`|\w+)"""
-_TABLE = rf"(?:{_NAME}\s*\.\s*)?({_NAME})"
-_CREATE = re.compile(rf"CREATE\s+TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?{_TABLE}\s*\(", re.I)
-_REFERENCE = rf"FOREIGN\s+KEY\s*\([^)]*\)\s+REFERENCES\s+{_TABLE}"
-_ALTER = re.compile(rf"ALTER\s+TABLE\s+(?:ONLY\s+)?{_TABLE}[^;]*?{_REFERENCE}", re.I | re.S)
-_COLUMN = re.compile(r"""["`]?(\w+)["`]?\s+(\w+(?:\s*\([^)]*\))?)""")
-
-
-def _until_closed(text: str, start: int) -> str:
-    """text from start up to the bracket that closes one opened before it; all the rest if none does."""
-    depth = 1
-    for m in re.finditer(r"[()]", text[start:]):
-        depth += 1 if m[0] == "(" else -1
-        if not depth:
-            return text[start : start + m.start()]
-    return text[start:]
+    if symbols:
+        yield from ruby.symbols(file, text)
 
 
 def _sql(file: str, text: str, symbols: bool) -> Iterator[Fact]:
-    """Tables, and foreign keys between tables of the file."""
-    if not symbols:
-        return
-    bare = lambda name: name.strip("\"`")
-    tables, keys = {}, []
-    for m in _CREATE.finditer(text):
-        name, body = bare(m[1]), _until_closed(text, m.end())
-        keys += [(name, bare(other)) for other in re.findall(_REFERENCE, body, re.I)]
-        if name not in tables:
-            rows = [_COLUMN.match(line.strip()) for line in body.splitlines()]
-            columns = [f"{c[1]} {c[2].lower()}" for c in rows if c and c[1].upper() not in NO_COLUMN]
-            tables[name] = (text.count("\n", 0, m.start()) + 1, ", ".join(columns[:COLUMNS]))
-    keys += [(bare(a), bare(b)) for a, b in _ALTER.findall(text)]
-    for name, (line, columns) in tables.items():
-        yield from _node(file, "db_table", name, line, 0, columns, file)
-    for a, b in keys:
-        if a != b and a in tables and b in tables:
-            yield {"fact": "edge", "src": f"{file}#db_table:{a}", "dst": f"{file}#db_table:{b}", "rel": "DEPENDS_ON"}
+    if symbols:
+        yield from ddl.symbols(file, text)
 
 
 PARSERS: dict[str, Callable[[str, str, bool], Iterator[Fact]]] = {"python": _python, "typescript": _script, "javascript": _script, "ruby": _ruby, "sql": _sql}
@@ -157,5 +130,5 @@ def facts(file: str, language: str, content: bytes, symbols: bool) -> list[Fact]
     own = {"fact": "file", "content": text[:FILE_CONTENT]}
     try:
         return [own, *PARSERS[language](file, text, symbols)]
-    except (SyntaxError, ValueError, RecursionError):
+    except (SyntaxError, ValueError, RecursionError):  # of Python's parser
         return [own]

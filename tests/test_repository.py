@@ -57,6 +57,79 @@ def test_parser_keeps_the_file_it_cannot_read():
     assert [f["fact"] for f in parsers.facts("a.py", "python", b"def (:\xff", True)] == ["file"]
 
 
+RAILS = {
+    "app/course.rb": "class Course < Base\n  include Publishable\n  belongs_to :school\n  rescue_from Oops, with: :h\n  def teach\n    Teacher.find(1)\n    assist\n  end\n  def assist; end\nend\n",
+    "app/base.rb": "class Base\nend\n", "app/school.rb": "class School < Unknown::Thing\n  has_one :course\nend\n", "app/publishable.rb": "module Publishable\n  extend ActiveSupport::Concern\n  def publish; end\nend\n",
+    "app/teacher.rb": "class Teacher\n  def self.find(x) = x\nend\n", "app/oops.rb": "class Oops < StandardError\nend\n",
+    "web/a.ts": "import {b} from './b'\nexport function a() { b(); x.helper(); const s: Service = 1 }\n", "web/b.ts": "export function b() {}\nexport function helper() {}\n", "web/service.ts": "export class Service { go() { return new Other() } }\n", "web/other.js": "class Other {}\n",
+}
+
+
+def test_names_across_files(spark, tmp_path):
+    for name, text in RAILS.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(text)
+    nodes, edges = repository.index(spark, str(tmp_path), symbols=True)
+    got = {(r.src, r.dst): r.rel for r in edges.where("rel <> 'CONTAINS'").collect()}
+    course = "app/course.rb#class:Course"
+    files = {("app/course.rb", f"app/{x}.rb") for x in ("base", "school", "publishable", "teacher", "oops")} | {("app/school.rb", "app/course.rb"), ("web/a.ts", "web/b.ts"), ("web/a.ts", "web/service.ts"), ("web/service.ts", "web/other.js")}
+    assert {k for k in got if "#" not in k[0]} == files and all(got[k] == "DEPENDS_ON" for k in files)
+    assert {k: v for k, v in got.items() if "#" in k[0]} == {
+        (course, "app/base.rb#class:Base"): "INHERITS", (course, "app/publishable.rb#module:Publishable"): "DEPENDS_ON", (course, "app/school.rb#class:School"): "DEPENDS_ON", (course, "app/oops.rb#class:Oops"): "DEPENDS_ON",
+        ("app/school.rb#class:School", course): "DEPENDS_ON", ("app/course.rb#method:Course.teach", "app/teacher.rb#class:Teacher"): "CALLS", ("app/course.rb#method:Course.teach", "app/teacher.rb#method:Teacher.find"): "CALLS",
+        ("app/course.rb#method:Course.teach", "app/course.rb#method:Course.assist"): "CALLS", ("web/a.ts#function:a", "web/b.ts#function:b"): "CALLS", ("web/a.ts#function:a", "web/b.ts#function:helper"): "CALLS",
+        ("web/a.ts#function:a", "web/service.ts#class:Service"): "CALLS", ("web/service.ts#method:Service.go", "web/other.js#class:Other"): "CALLS",
+    }
+    kinds = {r.node_id: (r.kind, r.language) for r in nodes.collect()}
+    assert kinds["app/publishable.rb#module:Publishable"] == ("concern", "ruby") and kinds["web/other.js#class:Other"] == ("class", "typescript")
+
+
+RUBY = r"""module Admin
+  class User::Role < Base
+    after_create do
+      has_one :hidden
+    end
+    scope :live, -> { where(x: 1) }
+    LIMIT = %w[class end]
+    Point = Struct.new(:x, :y) do
+      def inside; end
+    end
+    class << self
+      def one = 1
+    end
+    private def two(a)
+      "#{Three.call}" if a / 2 > 1
+      x = if a then 1 else 2 end
+      y = <<~SQL
+        class Fake
+      SQL
+      /def end/ =~ x
+      # class Comment
+    end
+    alias old new_one
+    delegate :a, to: :b
+    def after?; :end; end
+  end
+end
+Admin.class_eval do
+  def late
+    two
+  end
+end
+"""
+
+
+def test_ruby_scanner():
+    found = {f["node_id"].removeprefix("m.rb#"): f for f in parsers.facts("m.rb", "ruby", RUBY.encode(), True) if f["fact"] == "node"}
+    assert set(found) == {
+        "module:Admin", "class:Admin::User::Role", "hook:after_create:__block__", "scope:live", "constant:Admin::User::Role::LIMIT", "struct:Admin::User::Role::Point", "method:Admin::User::Role.one", "method:Admin::User::Role.two",
+        "alias:old", "delegate:a", "method:Admin::User::Role.after?", "method:Admin.late",
+    }
+    assert found["method:Admin::User::Role.one"]["kind"] == "class_method" and found["method:Admin::User::Role.two"]["scope_refs"] == ["Three"]
+    assert (found["class:Admin::User::Role"]["start_line"], found["class:Admin::User::Role"]["end_line"]) == (2, 26) and found["method:Admin.late"]["owner_name"] == "Admin"
+    assert [parsers.ruby.constant_name(x) for x in ("schools", "enrollments", "course_sections", "school_id", "categories", "boxes", "class")] == ["School", "Enrollment", "CourseSection", "School", "Category", "Box", "Class"]
+
+
 def test_tools(spark, root, tmp_path):
     tools = Tools(spark, str(tmp_path / "graphs"))
     assert tools.call("nothing")["code"] == "UNKNOWN_TOOL" and tools.call("search", {"root_path": root})["code"] == "MISSING_PARAM"
