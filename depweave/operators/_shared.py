@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -28,3 +29,9 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/graph-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def cheap(df: DataFrame) -> bool:
+    """Whether df is only read and filtered, so that reading it again costs no more than a copy of it would."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return not re.search(r"\b(Join|Aggregate|Window|Distinct|Sort|Generate|MapIn\w+|Repartition\w*)\b", plan)

@@ -14,6 +14,16 @@ LABELS = {
 }
 
 
+def has_node(nodes: DataFrame, node) -> bool:
+    return not nodes.where(F.col("node_id") == F.lit(node)).isEmpty()
+
+
+def attributes(nodes: DataFrame, node) -> dict | None:
+    """What is known of one node; None if it isn't there."""
+    row = nodes.where(F.col("node_id") == F.lit(node)).first()
+    return row and {k: v for k, v in row.asDict().items() if v is not None}
+
+
 def dependencies(edges: DataFrame, node) -> DataFrame:
     return edges.where(F.col("src") == F.lit(node)).select("dst").distinct()
 
@@ -73,11 +83,13 @@ def enclosing(contains: DataFrame, kinds: list[str], nodes: DataFrame) -> DataFr
 
 def imported_symbols(edges: DataFrame, symbols: DataFrame) -> DataFrame:
     """(src, name, symbol): names that a file sees through its imports up to two hops; nearer files and smaller ids win. symbols: file, name, symbol."""
-    one = edges.select("src", F.col("dst").alias("file"), F.lit(1).alias("hop"))
-    two = edges.alias("a").join(edges.alias("b"), F.col("a.dst") == F.col("b.src")).select("a.src", F.col("b.dst").alias("file"), F.lit(2).alias("hop"))
-    seen = one.union(two).where("src <> file").groupBy("src", "file").agg(F.min("hop").alias("hop"))
-    best = seen.join(symbols, "file").groupBy("src", "name").agg(F.min(F.struct("hop", "file", "symbol")).alias("best"))
-    return best.select("src", "name", F.col("best.symbol").alias("symbol"))
+    one = edges.where("src <> dst").select("src", "dst").distinct()
+    near = one.join(symbols, F.col("dst") == F.col("file")).groupBy("src", "name", "file").agg(F.min("symbol").alias("symbol"))
+    near = near.groupBy("src", "name").agg(F.slice(F.array_sort(F.collect_list(F.struct("file", "symbol"))), 1, 2).alias("best"))
+    # Of what a neighbour sees, two files are enough: one of them may be the file that asks, which doesn't import itself.
+    far = one.join(near.withColumnRenamed("src", "dst"), "dst").select("src", "name", F.explode("best").alias("b")).where("b.file <> src")
+    both = near.select("src", "name", F.lit(1).alias("hop"), F.col("best")[0].alias("b")).union(far.select("src", "name", F.lit(2).alias("hop"), "b"))
+    return both.groupBy("src", "name").agg(F.min(F.struct("hop", "b.file", "b.symbol")).alias("best")).select("src", "name", F.col("best.symbol").alias("symbol"))
 
 
 def resolve(wanted: DataFrame, known: DataFrame) -> DataFrame:

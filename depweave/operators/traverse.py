@@ -5,10 +5,12 @@ Null ends never match. Unknown seeds reach nothing. Repeated edges change nothin
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import written
+from ._shared import cheap, written
 
 
 def _oriented(edges: DataFrame, direction: str) -> DataFrame:
@@ -23,17 +25,20 @@ def reach(edges: DataFrame, seeds: DataFrame, depth: int, direction: str = "out"
 
     seeds_seen: seeds are never results; else a seed on a cycle comes back as any other node.
     """
-    steps = written(_oriented(edges, direction).distinct())
+    steps = _oriented(edges, direction)
+    steps = steps if depth < 2 or cheap(steps) else written(steps.distinct())
     seeds = written(seeds.select(F.col(seeds.columns[0]).cast(steps.schema["node"].dataType).alias("node")).distinct())
-    seen = seeds.withColumn("depth", F.lit(0)) if seeds_seen else seeds.withColumn("depth", F.lit(0)).limit(0)
-    frontier = seeds
+    hops, seen, frontier = [], [seeds] if seeds_seen else [], seeds
     for hop in range(1, depth + 1):
         found = steps.join(frontier, "node").select(F.col("next").alias("node")).where("node is not null").distinct()
-        frontier = written(found.join(seen.select("node"), "node", "left_anti"))
+        for before in seen:
+            found = found.join(before, "node", "left_anti")
+        frontier = written(found)
         if frontier.isEmpty():
             break
-        seen = written(seen.unionByName(frontier.withColumn("depth", F.lit(hop))))
-    return seen.where("depth > 0")
+        seen.append(frontier)
+        hops.append(frontier.withColumn("depth", F.lit(hop)))
+    return reduce(DataFrame.unionByName, hops) if hops else seeds.withColumn("depth", F.lit(0)).limit(0)
 
 
 def k_hop(edges: DataFrame, node, depth: int, direction: str = "out") -> DataFrame:

@@ -10,11 +10,12 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators._shared import written
+from ..operators._shared import cheap, written
 
 TOKEN = re.compile(r"""\s*(?:(?P<str>'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*")|(?P<num>\d+\.\d+|\d+(?!\.\.)|\d+)|(?P<id>[A-Za-z_]\w*)|(?P<param>\$[A-Za-z_]\w*)|(?P<op><>|<=|>=|=~|<-|->|\.\.|[-()\[\]{}:,.*=<>|+/%]))""")
 LABELS = ("File", "Function", "Class", "Method")
@@ -26,6 +27,10 @@ class CypherError(ValueError):
     """The query isn't in the grammar, or names something unknown."""
 
 
+class NotReading(CypherError):
+    """A clause that isn't one of the reading ones."""
+
+
 @dataclass
 class Node:
     var: str
@@ -103,7 +108,7 @@ class Parser:
             alls.append(self.take("ALL"))
             parts.append(self.single())
         if self.at < len(self.tokens):
-            raise CypherError(f"only reading clauses are allowed; got {self.tokens[self.at][1]}")
+            raise NotReading(f"only reading clauses are allowed; got {self.tokens[self.at][1]}")
         return parts, alls
 
     def single(self) -> list:
@@ -126,7 +131,7 @@ class Parser:
                 p.final = True
                 return [*out, p]
             else:
-                raise CypherError("only MATCH, OPTIONAL MATCH, UNWIND, WITH and RETURN are allowed")
+                raise NotReading("only MATCH, OPTIONAL MATCH, UNWIND, WITH and RETURN are allowed")
 
     def match(self, optional: bool) -> Match:
         paths = [self.path()]
@@ -500,7 +505,7 @@ class Compiler:
         start = f"{left.var}__node_id"
         if rel.hops:
             starts = df.select(F.col(start).alias("_a")).distinct()
-            pairs = self.walks(pairs.select("_a", "_b"), starts, *rel.hops, walk) if walk else self.expanded(pairs.select("_a", "_b").distinct(), starts, *rel.hops)
+            pairs = self.walks(pairs.select("_a", "_b"), starts, *rel.hops, walk) if walk else self.expanded(pairs.select("_a", "_b"), starts, *rel.hops)
         df = df.join(pairs, F.col(start) == F.col("_a")).drop("_a")
         if f"{node.var}__node_id" in df.columns:
             return self.such(df.where(F.col("_b") == F.col(f"{node.var}__node_id")).drop("_b"), node)
@@ -508,7 +513,7 @@ class Compiler:
 
     def walks(self, pairs: DataFrame, starts: DataFrame, least: int, most: int, name: str) -> DataFrame:
         """(_a, _b, name): every walk of least to most hops from the starts, and the nodes it goes through after its start."""
-        pairs = written(pairs)
+        pairs = pairs if cheap(pairs) else written(pairs)
         nodes = self.nodes.select(F.col("node_id").alias("_n"), F.struct(*self.carried).alias("_node"))
         now = written(starts.select("_a", F.col("_a").alias("_b"), F.lit(None).cast(f"array<{nodes.schema['_node'].dataType.simpleString()}>").alias(name)))
         out = None if least else now.withColumn(name, F.array().cast(now.schema[name].dataType))
@@ -524,16 +529,19 @@ class Compiler:
     @staticmethod
     def expanded(pairs: DataFrame, starts: DataFrame, least: int, most: int) -> DataFrame:
         """(_a, _b) at a shortest distance from least to most hops, ends that differ."""
-        pairs = written(pairs)
+        pairs = pairs if cheap(pairs) else written(pairs.distinct())
         frontier = written(starts.select(F.col("_a").alias("s"), F.col("_a").alias("n")))
-        seen = frontier.withColumn("d", F.lit(0))
+        seen, out = [frontier], []
         for hop in range(1, most + 1):
             found = frontier.join(pairs, F.col("n") == F.col("_a")).select("s", F.col("_b").alias("n")).distinct()
-            frontier = written(found.join(seen.select("s", "n"), ["s", "n"], "left_anti"))
+            for before in seen:
+                found = found.join(before, ["s", "n"], "left_anti")
+            frontier = written(found)
             if frontier.isEmpty():
                 break
-            seen = written(seen.unionByName(frontier.withColumn("d", F.lit(hop))))
-        return seen.where(F.col("d").between(least, most) & (F.col("d") > 0)).select(F.col("s").alias("_a"), F.col("n").alias("_b"))
+            seen.append(frontier)
+            out += [frontier] if hop >= least else []
+        return reduce(DataFrame.union, out or [frontier.limit(0)]).select(F.col("s").alias("_a"), F.col("n").alias("_b"))
 
     def project(self, df: DataFrame | None, p: Projection) -> DataFrame:
         df = df if df is not None else self.nodes.sparkSession.range(1).select()
