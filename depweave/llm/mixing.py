@@ -5,11 +5,11 @@ its source, sizes are summed until the source's budget.  A target above the sour
 of every document, the rest is the fractional selection; the document on which the budget ends is taken
 if at least half of it fits.  Keys come from a digest of the seed and the doc_id, so reruns agree.
 
-No source is ever gathered in one task: keys are cut into about sqrt(n) buckets, bucket totals
-are summed up, and only the one bucket of each source in which the budget ends is sorted by rows.
+No source is ever gathered in one task: keys are cut into buckets by their logarithm, of a width of 1 / sqrt(n), so that
+one holds 0.37 sqrt(n) rows or so at most whatever the weights are (an exponential variable's logarithm has no greater density), bucket totals are summed up, and only the one bucket of each source in which the budget ends is sorted by rows.
 The outcome is a cut (key, doc_id) per source, which is all that is joined to documents.
 
-Null text has size 0 and is never taken; null is a source of its own, last in order.  Rows with
+Null and wordless texts have size 0 and are never taken; null is a source of its own, last in order.  Rows with
 equal key and doc_id (repeated rows) are taken together.  An empty table gives no rows.
 """
 
@@ -33,8 +33,8 @@ def words(text: Column) -> Column:
 
 
 def quality(text: Column) -> Column:
-    """Between 0.1 and 1.1: a tenth more than the share of letters a-z, A-Z among the characters."""
-    letters = F.length(F.regexp_replace(F.coalesce(text, F.lit("")), "[^A-Za-z]+", ""))
+    """Between 0.1 and 1.1: a tenth more than the share of letters, of any script, among the characters."""
+    letters = F.length(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\p{L}]+", ""))
     return F.lit(0.1) + letters / F.greatest(F.length(F.coalesce(text, F.lit(""))), F.lit(1))
 
 
@@ -79,7 +79,7 @@ def cuts(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST)
     plan = targets(stats, weights, most).withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
     plan = materialise(plan.withColumn("budget", F.col("target") - F.col("epochs") * F.col("source_size")).withColumn("buckets", F.ceil(F.sqrt("n"))))
     own = F.col("d.source").eqNullSafe(F.col("p.source"))
-    spread = rows.alias("d").join(plan.alias("p"), own).select("d.*", "p.budget", F.least(F.col("p.buckets") - 1, F.floor(F.col("p.buckets") * (1 - F.exp(-F.col("d.key"))))).alias("bucket"))
+    spread = rows.alias("d").join(plan.alias("p"), own).select("d.*", "p.budget", F.floor(F.col("p.buckets") * F.ln("d.key")).alias("bucket"))
     totals = materialise(spread.groupBy("source", "bucket").agg(F.sum("size").alias("total"), F.max("budget").alias("budget")))
     up_to = F.sum("total").over(W.partitionBy("source").orderBy("bucket"))
     # The last bucket that begins below the budget: all before it is taken whole.
@@ -94,11 +94,16 @@ def cuts(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST)
     return materialise(plan.alias("p").join(at.alias("c"), F.col("p.source").eqNullSafe(F.col("c.source")), "left").select("p.source", "p.source_size", "p.target", "p.epochs", "c.cut_key", "c.cut_id", "c.with_cut"))
 
 
+def _inside() -> Column:
+    """Whether a row d comes before the cut c, or is it; null ids come first, as in the windows."""
+    upto = F.coalesce(F.col("d.doc_id") <= F.col("c.cut_id"), F.col("d.doc_id").isNull())
+    return F.coalesce((F.col("d._key") < F.col("c.cut_key")) | ((F.col("d._key") == F.col("c.cut_key")) & F.col("c.with_cut") & upto), F.lit(False))
+
+
 def taken_times(rows: DataFrame, cut: DataFrame) -> DataFrame:
     """rows (with source, key, doc_id) and what the mix does: source_size, target and times, how often each row is taken."""
-    inside = (F.col("d.key") < F.col("c.cut_key")) | ((F.col("d.key") == F.col("c.cut_key")) & F.col("c.with_cut") & (F.col("d.doc_id") <= F.col("c.cut_id")))
-    joined = rows.alias("d").join(cut.alias("c"), F.col("d.source").eqNullSafe(F.col("c.source")))
-    return joined.select("d.*", "c.source_size", "c.target", (F.col("c.epochs") + F.coalesce(inside, F.lit(False)).cast("long")).alias("times"))
+    joined = rows.withColumnRenamed("key", "_key").alias("d").join(cut.alias("c"), F.col("d.source").eqNullSafe(F.col("c.source")))
+    return joined.select("d.*", "c.source_size", "c.target", (F.col("c.epochs") + _inside().cast("long")).alias("times"))
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,11 +116,9 @@ def mix(docs: DataFrame) -> DataFrame:
     rows = materialise(keyed(docs))
     cut = cuts(rows)
     own = docs.withColumn("_key", exponential(F.col("doc_id"), quality(F.col("text"))))
-    inside = (F.col("d._key") < F.col("c.cut_key")) | ((F.col("d._key") == F.col("c.cut_key")) & F.col("c.with_cut") & (F.col("d.doc_id") <= F.col("c.cut_id")))
-    times = (F.col("c.epochs") + F.coalesce(inside, F.lit(False)).cast("long")).cast("int")
+    times = (F.col("c.epochs") + _inside().cast("long")).cast("int")
     joined = own.alias("d").join(cut.alias("c"), F.col("d.source").eqNullSafe(F.col("c.source")))
-    # An empty document has no words to sample and stays once.
-    times = F.when(words(F.col("d.text")) == 0, 1).otherwise(times)
+    joined = joined.where(F.col("d.text").rlike(r"[^\x20\x09-\x0D]"))
     return joined.select(*[F.col(f"d.`{c}`") for c in docs.columns], F.explode(F.array_repeat(F.lit(0), times)).alias("_")).drop("_")
 
 
@@ -127,7 +130,7 @@ def oracle() -> str:
     WITH d AS (SELECT doc_id, source,
           CAST(length(regexp_replace(regexp_replace(coalesce(text, ''), '[^\x20\x09-\x0D]+', 'x', 'g'), '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS size,
           -ln((CAST(CAST('0x' || substr(md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / {float(16**13)}::DOUBLE)
-          / (0.1::DOUBLE + length(regexp_replace(coalesce(text, ''), '[^A-Za-z]+', '', 'g')) / greatest(length(coalesce(text, '')), 1)) AS key
+          / (0.1::DOUBLE + length(regexp_replace(coalesce(text, ''), '[^\p{{L}}]+', '', 'g')) / greatest(length(coalesce(text, '')), 1)) AS key
         FROM documents),
     s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
     w AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(WEIGHTS)} {weight} END AS weight, source_size * {MOST} AS cap FROM s),
