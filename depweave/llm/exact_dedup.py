@@ -26,6 +26,7 @@ from ._common import materialise, numbered, table
 
 #: Distinct keys of a bucket; the directory, of two entries a bucket or so, is what the driver holds.
 CAPACITY = 1024
+MOST_BUCKETS = 1 << 15
 #: Bytes of texts that a task keeps in order to collapse copies.
 WINDOW = 16 << 20
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -43,49 +44,62 @@ class Directory:
     """Extendible hashing's directory over the leading bits of keys (moved to be unsigned)."""
 
     def __init__(self) -> None:
-        self.depth, self.slots, self.local = 0, [0], [0]
+        self.depth, self.slots = 0, np.zeros(1, np.int32)
+        self.local, self.first = [0], [0]  # of each bucket its depth, and its least key
 
     def double(self) -> None:
-        self.slots = [b for b in self.slots for _ in (0, 1)]
+        self.slots = np.repeat(self.slots, 2)
         self.depth += 1
 
     def split(self, bucket: int) -> tuple[int, int]:
         """The lower half of the bucket's keys keeps its number, the upper half gets a new one."""
         if self.local[bucket] == self.depth:
             self.double()
-        mine = [i for i, b in enumerate(self.slots) if b == bucket] if self.depth < 8 else range(lo := self.slots.index(bucket), lo + (1 << (self.depth - self.local[bucket])))
         self.local[bucket] += 1
+        new, half = len(self.local), self.first[bucket] + (1 << (64 - self.local[bucket]))
         self.local.append(self.local[bucket])
-        new = len(self.local) - 1
-        for i in mine[len(mine) // 2 :]:
-            self.slots[i] = new
+        self.first.append(half)
+        at = half >> (64 - self.depth)
+        self.slots[at : at + (1 << (self.depth - self.local[bucket]))] = new
         return bucket, new
 
     def lookup(self, keys: np.ndarray) -> np.ndarray:
         unsigned = keys.astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63)
         at = unsigned >> np.uint64(64 - self.depth) if self.depth else np.zeros(len(keys), np.uint64)
-        return np.asarray(self.slots, np.int32)[at.astype(np.int64)]
+        return self.slots[at.astype(np.int64)]
+
+
+def split_over(counts: np.ndarray, capacity: int) -> tuple[Directory, bool]:
+    """A directory whose buckets hold at most `capacity` of the keys that `counts` has by their leading bits, and whether these bits were enough."""
+    upto = np.concatenate([[0], np.cumsum(counts)])
+    out, todo, enough = Directory(), [(0, 0, len(counts))], True
+    while todo:
+        bucket, lo, hi = todo.pop()
+        if upto[hi] - upto[lo] <= capacity:
+            continue
+        if hi - lo == 1:
+            enough = False
+            continue
+        low, new = out.split(bucket)
+        todo += [(low, lo, (lo + hi) // 2), (new, (lo + hi) // 2, hi)]
+    return out, enough
 
 
 def directory(keys: DataFrame, capacity: int = CAPACITY) -> Directory:
-    """Split buckets until none is overfull. keys: distinct `key`. Counts by leading bits reach the driver, about 16 for each bucket."""
-    bits = max(1, int(keys.count() / capacity).bit_length() + 3)
+    """Split buckets until none is overfull. keys: distinct `key`.
+
+    Counts by leading bits reach the driver, 8 to 16 for each bucket; beyond 2^25 keys buckets grow instead, so it never holds more than MOST_BUCKETS or so.
+    """
+    n = keys.count()
+    capacity = max(capacity, -(-n // MOST_BUCKETS))
+    bits = max(1, int(n / capacity).bit_length() + 3)
     while True:
         lead = F.shiftrightunsigned(F.col("key").bitwiseXOR(F.lit(-(1 << 63))), 64 - bits)
+        found = keys.groupBy(lead.alias("lead")).count().toPandas()
         counts = np.zeros(1 << bits, np.int64)
-        for row in keys.groupBy(lead.alias("lead")).count().collect():
-            counts[row["lead"]] = row["count"]
-        upto = np.concatenate([[0], np.cumsum(counts)])
-        out, todo = Directory(), [(0, 0, 1 << bits)]
-        ranges = {}
-        while todo:
-            bucket, lo, hi = todo.pop()
-            if upto[hi] - upto[lo] <= capacity or hi - lo == 1:
-                ranges[bucket] = (lo, hi)
-                continue
-            low, new = out.split(bucket)
-            todo += [(low, lo, (lo + hi) // 2), (new, (lo + hi) // 2, hi)]
-        if all(upto[hi] - upto[lo] <= capacity for lo, hi in ranges.values()) or bits >= 40:
+        counts[found["lead"].to_numpy(np.int64)] = found["count"].to_numpy(np.int64)
+        out, enough = split_over(counts, capacity)
+        if enough or bits >= 24:  # more keys than a bucket's in one of 2^24 ranges: it stays overfull, and its owner chains them all the same
             return out
         bits += 4
 
