@@ -7,7 +7,8 @@ every candidate outside its k best lower bounds has a smaller upper bound or few
 and the remaining ones' final scores are resolved.  Bounds of a block of queries over a block of candidates are two matrix products.
 
 Queries are taken in blocks against all rows in blocks; every pair of blocks is one row of a shuffle, its result the
-best k of that block, and the best k of these are the answer.  Scores are integers and exact.
+best k of that block, and the best k of these are the answer.  Scores are integers and exact; where products of a block may pass 62 bits, Python's
+integers rank it without bounds, and scores beyond 64 bits are given as the nearest such number.
 
 Vectors that are null or hold null or non-finite components take no part; shorter vectors count as padded with zeros.  Rows
 with the query's vec_id are not its candidates; of repeated vec_ids each row is a candidate, and the first of its vectors in order is the query.
@@ -19,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -44,11 +46,11 @@ def _pack(rows: DataFrame, block: str) -> DataFrame:
     return rows.groupBy(block).agg(F.collect_list(F.struct("vec_id", "v")).alias("rows"), width)
 
 
-def _matrix(rows: list, width: int) -> tuple[np.ndarray, np.ndarray]:
-    ids = np.array([r["vec_id"] for r in rows], np.int64)
+def _matrix(rows: pa.StructArray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    ids, vectors = rows.field("vec_id").to_numpy(), rows.field("v")
+    sizes = pc.list_value_length(vectors).to_numpy()
     out = np.zeros((len(rows), width), np.int64)
-    for k, r in enumerate(rows):
-        out[k, : len(r["v"])] = r["v"]
+    out[np.arange(width) < sizes[:, None]] = vectors.flatten().to_numpy()
     order = np.argsort(ids, kind="stable")
     return ids[order], out[order]
 
@@ -56,18 +58,20 @@ def _matrix(rows: list, width: int) -> tuple[np.ndarray, np.ndarray]:
 def _exact_type(q: np.ndarray, x: np.ndarray) -> type:
     """The fastest type that holds every partial sum exactly."""
     most = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * q.shape[1] * 2
-    return np.float32 if most < 2**24 else np.float64 if most < 2**53 else np.int64
+    return np.float32 if most < 2**24 else np.float64 if most < 2**53 else np.int64 if most < 2**62 else object
 
 
 def unsettled(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> list[np.ndarray | None]:
     """For each query the candidates (rows of x) left when its reading stops, or None if its lists are read to their ends. ids ascend."""
     kind = _exact_type(q, x)
     n = len(ids)
+    remaining: list[np.ndarray | None] = [None] * len(q)
+    if n <= 2 * k or kind is object:
+        return remaining
     weights = np.concatenate([np.maximum(q, 0), np.maximum(-q, 0)], axis=1).astype(kind)
     lists = np.concatenate([x, -x], axis=1).astype(kind)
     ordered = -np.sort(-lists, axis=0)  # each list from its largest value
-    remaining: list[np.ndarray | None] = [None] * len(q)
-    active = np.arange(len(q)) if n > 2 * k else np.zeros(0, int)
+    active = np.arange(len(q))
     for depth in DEPTHS:
         if not len(active):
             break
@@ -107,16 +111,16 @@ def nra(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int
             ties = np.flatnonzero(score == bound)[: k - len(above)]
             pick = np.concatenate([above, ties])
             left, score = left[pick], score[pick]
-        yield q_ids[i], ids[left], score.astype(np.int64)
+        most = np.iinfo(np.int64)
+        yield q_ids[i], ids[left], np.clip(score, most.min, most.max).astype(np.int64) if kind is object else score.astype(np.int64)
 
 
 def _search(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                row = {c: batch.column(c)[i].as_py() for c in ("queries", "rows", "q_width", "width")}
-                width = max(row["q_width"], row["width"])
-                (q_ids, q), (ids, x) = _matrix(row["queries"], width), _matrix(row["rows"], width)
+                width = max(batch.column(c)[i].as_py() for c in ("q_width", "width"))
+                (q_ids, q), (ids, x) = (_matrix(batch.column(c)[i].values, width) for c in ("queries", "rows"))
                 for lo in range(0, len(q_ids), 512):
                     found = list(nra(q_ids[lo : lo + 512], q[lo : lo + 512], ids, x, k))
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if len(c) else [], pa.int64()) for c in ([np.full(len(f[1]), f[0]) for f in found], [f[1] for f in found], [f[2] for f in found])], ["query_id", "vec_id", "score"])
