@@ -4,8 +4,8 @@ Bytes have vectors of 8 numbers; filters of widths 2, 3 and 4, 16 of each, slide
 max-pooled, and a softmax layer gives the languages.  Every window of a text is scored; the mean of the windows'
 probabilities, by their bytes, decides.
 
-Learned from at most SAMPLE documents with non-null lang that are not held out (crc32 of the id as text, mod 5, is not 0), chosen by a
-hash of the id, up to 4 windows each.  A null text, or one without any letter, is `und` with score 1; so is
+Learned from at most SAMPLE documents of each language that are not held out (crc32 of the id as text, mod 5, is not 0), chosen by a
+hash of the id, so that a rare language is learned too; up to EACH windows, spread over the text, are taken of one.  A null text, or one without any letter, is `und` with score 1; so is
 every text if there is nothing to learn from, with score 0.
 """
 
@@ -16,12 +16,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._common import materialise, table, utf8
 
-SAMPLE, EACH = 6_000, 4
+SAMPLE, EACH = 1_500, 4
+#: Windows of many texts that are scored together.
+TOGETHER = 4096
 WINDOW, VECTOR, WIDTHS, FILTERS = 192, 8, (2, 3, 4), 16
 PAD = max(WIDTHS) - 1
 LETTER = regex.compile(r"\p{L}")
@@ -119,9 +121,11 @@ def _training(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Network:
     """docs: doc_id, text, lang."""
-    ids = docs.where("lang is not null and text is not null and doc_id is not null").where(~held_out(F.col("doc_id"))).select("doc_id")
-    chosen = materialise(ids.distinct().orderBy(F.xxhash64("doc_id", F.lit(9)), "doc_id").limit(sample))
-    rows = docs.where("lang is not null").join(F.broadcast(chosen), "doc_id").select("lang", "text").mapInArrow(_training, "lang string, w binary").orderBy("lang", "w").toPandas()
+    ids = docs.where("lang is not null and text is not null and doc_id is not null").where(~held_out(F.col("doc_id"))).select("doc_id", "lang").distinct()
+    # Spark limits the groups of a rank before it shuffles, so a language's share of a task is `sample` rows.
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(9)), "doc_id"))
+    chosen = materialise(ids.withColumn("_place", place).where(F.col("_place") <= sample).select("doc_id", "lang"))
+    rows = docs.join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", "text").mapInArrow(_training, "lang string, w binary").orderBy("lang", "w").toPandas()
     languages = sorted(set(rows["lang"]))
     net = Network(languages)
     if len(rows):
@@ -130,28 +134,43 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Network:
     return net
 
 
+def _scored(net: Network, data: np.ndarray, spans: np.ndarray) -> np.ndarray:
+    """Mean probabilities of each span (start, end) of data, over its bytes; windows of many spans are scored together."""
+    total, held, owner, weight = np.zeros((len(spans), len(net.languages))), [], [], []
+
+    def score() -> None:
+        if held:
+            p = net.predict(np.concatenate(held)).astype(float)
+            np.add.at(total, np.concatenate(owner), p * np.concatenate(weight)[:, None])
+        held.clear(), owner.clear(), weight.clear()
+
+    waiting = 0
+    for k, (start, end) in enumerate(spans):
+        for lo in range(start, end, TOGETHER * WINDOW):
+            hi = min(end, lo + TOGETHER * WINDOW)
+            held.append(windows_of(data, lo, hi))
+            owner.append(np.full(len(held[-1]), k))
+            weight.append(np.minimum(WINDOW, hi - lo - np.arange(len(held[-1])) * WINDOW))
+            waiting += len(held[-1])
+            if waiting >= TOGETHER:
+                score()
+                waiting = 0
+    score()
+    return total / np.maximum(spans[:, 1] - spans[:, 0], 1)[:, None]
+
+
 def identify(docs: DataFrame, net: Network) -> DataFrame:
     """doc_id, lang_pred, score from doc_id, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
-            langs, scores = [], []
-            for i, text in enumerate(batch.column("text")):
-                known = text.is_valid and LETTER.search(text.as_py()) is not None
-                if not known or not net.languages:
-                    langs.append("und")
-                    scores.append(0.0 if known else 1.0)
-                    continue
-                mean, n = 0, int(offsets[i + 1] - offsets[i])
-                for lo in range(0, n, 1024 * WINDOW):
-                    hi = min(n, lo + 1024 * WINDOW)
-                    p = net.predict(windows_of(data, offsets[i] + lo, offsets[i] + hi)).astype(float)
-                    weight = np.minimum(WINDOW, hi - lo - np.arange(len(p)) * WINDOW)
-                    mean = mean + weight @ p
-                mean = mean / n
-                langs.append(net.languages[int(np.argmax(mean))])
-                scores.append(float(min(1.0, mean.max())))
+            known = np.array([t.is_valid and LETTER.search(t.as_py()) is not None for t in batch.column("text")], bool)
+            langs, scores = np.full(len(known), "und", object), np.where(known, 0.0, 1.0)
+            if net.languages and known.any():
+                mean = _scored(net, data, np.stack([offsets[:-1], offsets[1:]], axis=1)[known])
+                langs[known] = np.array(net.languages, object)[mean.argmax(axis=1)]
+                scores[known] = np.minimum(1.0, mean.max(axis=1))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
