@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import slices, table, utf8
+from ._common import materialise, slices, table, utf8
 
 #: Words in the automaton, entries of a worker's cache of results.
 FREQUENT, CACHE = 16_384, 200_000
@@ -335,10 +335,19 @@ class Encoder:
 
 
 def frequent_words(docs: DataFrame, n: int = FREQUENT) -> list[str]:
-    """The words of letters that occur most often in all documents; n reach the driver."""
+    """The words of letters that occur most often in all documents: all that occur oftener than the count at which there would be more than n.
+
+    The driver gets how many words have a count, from that of the n-th on, and at most n words.
+    """
     words = F.explode(F.split(F.lower(F.col("text")), r"[^\p{L}]+")).alias("w")
-    counts = docs.select(words).where("w <> ''").groupBy("w").count().where("count > 1")
-    return [r["w"] for r in counts.orderBy(F.desc("count"), "w").limit(n).collect()]
+    counts = materialise(docs.select(words).where("w <> ''").groupBy("w").count().where("count > 1"))
+    level, total = 1, 0
+    for row in counts.groupBy("count").agg(F.count("*").alias("words")).orderBy(F.desc("count")).limit(n).collect():
+        total += row["words"]
+        if total > n:
+            level = row["count"]
+            break
+    return sorted(r["w"] for r in counts.where(F.col("count") > level).select("w").collect())
 
 
 def lexicon(rules: Rules, words: list[str]) -> bytes:
