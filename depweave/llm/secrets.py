@@ -2,7 +2,7 @@
 
 One model holds the transitions of random strings, the other those of ordinary
 identifiers; a token whose mean log-likelihood ratio is above a threshold, which no base span overlaps, is a
-further span.  Both are counted by Spark from labelled samples into a table of the alphabet's size squared.
+further span; it has LEAST characters at least and a letter, since numbers alone are no secrets.  Both are counted by Spark from labelled samples into a table of the alphabet's size squared.
 Only SQL functions run over the texts; no row is shuffled.
 
 Null and empty texts have no span.  Repeated rows give repeated results.  Positions are code points, end exclusive.
@@ -25,7 +25,9 @@ BASE = [
     ("hex", r"[0-9a-f]{32,}", 0, 32),
 ]
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
-TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
+#: Fewest characters of a token that the models judge: of fewer, too many ordinary names look random.
+LEAST = 16
+TOKEN = rf"(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{{{LEAST},}}"
 #: Mean log-likelihood ratio of a transition from which on a token counts as random.
 LEAST_RATIO = 0.5
 
@@ -44,7 +46,7 @@ desarrollo responsabilidad comunicacion universidad electroencefalografista the
 
 
 def labelled_samples(spark: SparkSession, each: int = 3000) -> DataFrame:
-    """sample, random: strings of digests in several alphabets, and identifiers of ordinary parts."""
+    """sample, random: strings of digests in several alphabets; identifiers of ordinary parts, and rules of one sign or of tables."""
     digest = F.sha2(F.concat(F.lit("r"), F.col("id").cast("string")), 512)
     packed = F.base64(F.unhex(digest))
     random = spark.range(each).select(
@@ -55,7 +57,8 @@ def labelled_samples(spark: SparkSession, each: int = 3000) -> DataFrame:
     camel = F.concat(parts[0], *map(F.initcap, parts[1:]))
     numbered = F.concat_ws("_", *parts[:4], (F.col("id") % 100).cast("string"))
     ordinary = spark.range(each).select(
-        F.when(F.col("id") % 6 == 0, F.concat_ws("_", *parts)).when(F.col("id") % 6 == 1, camel).when(F.col("id") % 6 == 2, F.concat_ws("/", *parts)).when(F.col("id") % 6 == 3, F.concat_ws("-", *parts)).when(F.col("id") % 6 == 4, F.concat(*parts)).otherwise(F.upper(numbered)).alias("sample"),
+        F.when(F.col("id") % 10 == 9, F.repeat(F.substring(F.lit("-=_+/-"), (F.col("id") / 10 % 6).cast("int") + 1, 1), 24)).when(F.col("id") % 10 == 8, F.concat(F.lit("+"), F.repeat(F.lit("-"), (F.col("id") / 10 % 7).cast("int") + 3), F.lit("+"), F.repeat(F.lit("="), 8), F.lit("+")))
+        .when(F.col("id") % 6 == 0, F.concat_ws("_", *parts)).when(F.col("id") % 6 == 1, camel).when(F.col("id") % 6 == 2, F.concat_ws("/", *parts)).when(F.col("id") % 6 == 3, F.concat_ws("-", *parts)).when(F.col("id") % 6 == 4, F.concat(*parts)).otherwise(F.upper(numbered)).alias("sample"),
         F.lit(False).alias("random"),
     )
     return random.unionByName(ordinary)
@@ -96,7 +99,7 @@ def scan(docs: DataFrame, ratios: list[float], id_col: str = "doc_id", text_col:
     ratio = F.split(F.lit(",".join(f"{x:.6f}" for x in ratios)), ",").cast("array<double>")
     text = F.col("_text")
     out = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    out = out.select("doc_id", *[_found(text, p, group, least, k).alias(name) for k, (name, p, group, least) in enumerate(BASE)], _found(text, TOKEN, 0, 20, len(BASE)).alias("tokens"))
+    out = out.select("doc_id", *[_found(text, p, group, least, k).alias(name) for k, (name, p, group, least) in enumerate(BASE)], _found(text, TOKEN, 0, LEAST, len(BASE)).alias("tokens"))
     out = out.select("doc_id", F.concat(*[name for name, *_ in BASE]).alias("base"), "tokens")
 
     def mean_ratio(token: Column) -> Column:
