@@ -7,7 +7,8 @@ The lexicon is a fixed list of insults and, learned from labelled texts, the wor
 toxic texts hold far oftener than others.
 
 Labels are learned from at most SAMPLE labelled documents, chosen by a hash of the id, of those not held out
-(crc32 of the id as text, mod 4, is not 2); trees are fitted on four fifths of them and calibrated out of sample by five folds.
+(crc32 of the id as text, mod 4, is not 2).  Trees are fitted on all of these; the calibration is fitted on scores that the trees of five folds give
+to the fifth they haven't seen.  The lexicon is learned from all of them before, so its part of the calibration isn't out of sample.
 Null and empty texts have all features 0 and a score as any other.  A document with several labels counts as toxic if one says so;
 null labels and null ids are not learned from.  Without any label of both kinds every score is the fixed lexicon's.
 """
@@ -132,7 +133,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
 
 
 def learn_lexicon(rows: DataFrame) -> Lexicon:
-    """Words and stems of at least 2 % of toxic texts (at least 4 texts) that they hold at least e times as often, by a cautious estimate."""
+    """All words and stems (the sample bounds them) of at least 2 % of toxic texts (at least 4 texts) that they hold at least e times as often, by a cautious estimate."""
 
     def presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -151,7 +152,7 @@ def learn_lexicon(rows: DataFrame) -> Lexicon:
     counts = rows.mapInArrow(presence, "key long, p long, n long").groupBy("key").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
     least = F.greatest(F.col("p") - F.sqrt("p"), F.lit(0)) + 0.5
     ratio = F.ln(least / (toxic + 1.0)) - F.ln((F.col("n") + F.sqrt("n") + 0.5) / (clean + 1.0))
-    found = counts.where(F.col("p") >= max(4, 0.02 * toxic)).withColumn("s", ratio).where("s >= 1").orderBy(F.desc("p"), "key").limit(5000).toPandas()
+    found = counts.where(F.col("p") >= max(4, 0.02 * toxic)).withColumn("s", ratio).where("s >= 1").orderBy("key").toPandas()
     return Lexicon(found["key"].to_numpy(np.int64).view(np.uint64), found["s"].to_numpy(float))
 
 
