@@ -38,6 +38,8 @@ SLOTS = 1 << 18
 SMOOTHING = 4.0
 #: Shingles that so many members hold at most are listed with them.
 RARE = 8
+#: Most members whose rows are picked by a bitmap (of 32 MB then).
+MOST_MARKS = 1 << 23
 #: Bytes of texts that are worked on at once.
 STEP = 2 << 20
 _SLOT = np.uint64(SLOTS - 1)
@@ -127,15 +129,54 @@ def _sign(idf: np.ndarray):
     return run
 
 
-def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted hashes of a text's shingles, and their counts unless all are one."""
-    for batch in batches:
-        for lo, hi, doc, h, times in _parts(batch):
-            at = np.searchsorted(doc, np.arange(hi - lo + 1))
-            several = np.add.reduceat(np.append(times > 1, False), at[:-1]) * (at[1:] > at[:-1]) if hi > lo else []
-            hashes = pa.array([h[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)], pa.binary())
-            counts = pa.array([times[i:j].astype(np.uint32).tobytes() if k else None for i, j, k in zip(at[:-1], at[1:], several, strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), hashes, counts], ["doc_id", "h", "n"])
+def _bits(ids: pa.Array, width: int) -> np.ndarray:
+    return mix64(ids.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) >> np.uint64(64 - width)
+
+
+def _marks(ids: DataFrame, n: int) -> tuple[np.ndarray, int]:
+    """A bitmap of 16 to 32 bits for each of n ids (doc_id), in words of 64, and the logarithm of its size: a bit is set for each id, and few others are by chance."""
+    width = max(10, (16 * n).bit_length())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = np.unique(_bits(batch.column("doc_id"), width))
+            word, mask = bits >> np.uint64(6), np.uint64(1) << (bits & np.uint64(63))
+            first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]])) if len(bits) else np.zeros(0, int)
+            mask = np.bitwise_or.reduceat(mask, first) if len(first) else mask
+            yield pa.RecordBatch.from_arrays([pa.array(word[first].astype(np.int64)), pa.array(mask.view(np.int64))], ["word", "mask"])
+
+    found = ids.mapInArrow(run, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toPandas()
+    out = np.zeros(1 << (width - 6), np.uint64)
+    out[found["word"].to_numpy(np.int64)] = found["mask"].to_numpy(np.int64).view(np.uint64)
+    return out, width
+
+
+def _vectors(given=None, width: int = 0):
+    """Sorted hashes of a text's shingles, and their counts unless all are one; given: marks of the rows that are wanted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if given is not None:
+                bits = _bits(batch.column("doc_id"), width)
+                batch = batch.filter(pa.array((given.value[(bits >> np.uint64(6)).astype(np.int64)] >> (bits & np.uint64(63))) & np.uint64(1) > 0))
+            for lo, hi, doc, h, times in _parts(batch):
+                at = np.searchsorted(doc, np.arange(hi - lo + 1))
+                several = np.add.reduceat(np.append(times > 1, False), at[:-1]) * (at[1:] > at[:-1]) if hi > lo else []
+                hashes = pa.array([h[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)], pa.binary())
+                counts = pa.array([times[i:j].astype(np.uint32).tobytes() if k else None for i, j, k in zip(at[:-1], at[1:], several, strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), hashes, counts], ["doc_id", "h", "n"])
+
+    return run
+
+
+def vectors_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, h, n) of the rows of docs with these ids, and of few others. Texts aren't shuffled, unless the ids are too many for a bitmap."""
+    ids = materialise(ids.select("doc_id").distinct())
+    n, schema = ids.count(), "doc_id long, h binary, n binary"
+    if n > MOST_MARKS:
+        return materialise(docs.join(ids, "doc_id", "left_semi").mapInArrow(_vectors(), schema))
+    marks, width = _marks(ids, n)
+    return materialise(docs.mapInArrow(_vectors(docs.sparkSession.sparkContext.broadcast(marks), width), schema))
 
 
 def _vector(h: bytes, n: bytes | None) -> tuple[np.ndarray, np.ndarray]:
@@ -244,7 +285,10 @@ def labels(docs: DataFrame, members: DataFrame, idf: np.ndarray, similar: float)
         pairs = materialise(pairs if known is None else pairs.join(known, ["a", "b"], "left_anti"))
         if pairs.isEmpty():
             return
-        sides = [vectors.select(F.col("doc_id").alias(x), F.col("h").alias(f"h{x}"), F.col("n").alias(f"n{x}")) for x in "ab"]
+        near = vectors
+        if known is not None:  # in later rounds few members are compared
+            near = vectors.join(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "doc_id", "left_semi")
+        sides = [near.select(F.col("doc_id").alias(x), F.col("h").alias(f"h{x}"), F.col("n").alias(f"n{x}")) for x in "ab"]
         checked = materialise(pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "ha", "na", "hb", "nb").mapInArrow(_verify(idf, similar), "a long, b long, similar boolean"))
         known = checked if known is None else known.union(checked)
         found = merge(found, checked.where("similar").select("a", "b"))
@@ -256,7 +300,7 @@ def labels(docs: DataFrame, members: DataFrame, idf: np.ndarray, similar: float)
         members, pairs, all_lead = _wanted(labelled(), leaders_each)
         members = members.drop("label")
         if vectors is None:
-            vectors = materialise(docs.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_vectors, "doc_id long, h binary, n binary"))
+            vectors = vectors_of(docs, members.select(F.col("rep").alias("doc_id")))
         compare(pairs)
         if leaders_each == 1 and not all_lead:
             now = labelled().join(_mixed(labelled()).select("band", "key"), ["band", "key"], "left_semi")

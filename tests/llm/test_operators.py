@@ -252,6 +252,16 @@ def test_near_duplicates_by_brute_force(spark):
     assert {r["doc_id"]: r["class_id"] for r in near_dedup.classes(docs).collect()} == near_classes_by_brute_force(docs)
 
 
+def test_vectors_by_bitmap_and_by_join(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"one two three four five six x{i}") for i in range(500)] + [(-7, None)], "doc_id long, text string")
+    ids = docs.where("doc_id % 7 = 0 and doc_id <> 7").select("doc_id").union(docs.select("doc_id").limit(1))
+    wanted = {r["doc_id"] for r in ids.collect()}
+    got = {r["doc_id"]: r["h"] for r in near_dedup.vectors_of(docs, ids).collect()}
+    assert wanted <= set(got) and len(got) < 2 * len(wanted) and near_dedup.vectors_of(docs, ids.limit(0)).count() < 20
+    monkeypatch.setattr(near_dedup, "MOST_MARKS", 1)
+    assert {r["doc_id"]: r["h"] for r in near_dedup.vectors_of(docs, ids).collect()} == {i: got[i] for i in wanted}
+
+
 def test_near_duplicates_about_the_threshold(spark):
     """Copies with 0 to 24 changed words: many are like some others only, and those may have met their own leader before."""
     rng = np.random.default_rng(5)
