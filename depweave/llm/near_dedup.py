@@ -11,7 +11,7 @@ compared with a leader, which settles groups of copies; no member is dropped, ho
 different components in one bucket, is bounded before it is compared: shingles that at most RARE of these members hold are listed, and
 members that share one are compared.  All others share nothing but the rest of their weight, s of w, and two of them reach the
 similarity t only if each is at most s (1 + t) / t - w heavy; who has no such partner is done, and the others are compared with
-four times as many leaders each round, until every pair of a bucket is compared, joined by links or ruled out by its bound.
+four times as many leaders each round (with all at once, if they are few), until every pair of a bucket is compared, joined by links or ruled out by its bound.
 Classes are the connected components of the links; the row of the smallest doc_id of a class (nulls last) names it and stays.
 
 Null, empty and wordless texts have no shingles and are alone. Texts of one to four words have one shingle, all
@@ -38,6 +38,8 @@ SLOTS = 1 << 18
 SMOOTHING = 4.0
 #: Shingles that so many members hold at most are listed with them.
 RARE = 8
+#: Pairs for each member that are compared in one round, all members leading, instead of several rounds.
+AT_ONCE = 16
 #: Most members whose rows are picked by a bitmap (of 32 MB then).
 MOST_MARKS = 1 << 23
 #: Bytes of texts that are worked on at once.
@@ -274,6 +276,13 @@ def _wanted(members: DataFrame, leaders_each: int) -> tuple[DataFrame, DataFrame
     return inside.drop("leads"), pairs.select(F.greatest("rep", "leader").alias("a"), F.least("rep", "leader").alias("b")).distinct(), leaders_each > most
 
 
+def _few_pairs(members: DataFrame) -> bool:
+    """Whether the pairs of members of one bucket but different labels are AT_ONCE for each member at most, within or without the caps."""
+    each = members.groupBy("band", "key", "label").agg(F.count("*").alias("m")).groupBy("band", "key").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("same"))
+    row = each.agg(F.sum("m").alias("members"), F.sum(F.col("m") * F.col("m") - F.col("same")).alias("pairs")).first()
+    return (row["pairs"] or 0) <= 2 * AT_ONCE * (row["members"] or 0)
+
+
 def labels(docs: DataFrame, members: DataFrame, idf: np.ndarray, similar: float) -> DataFrame:
     """(node, label): components of the links between representatives that share a band; only nodes with links. members: band, key, rep, weight."""
     found, known, leaders_each, all_lead = docs.sparkSession.createDataFrame([], "node long, label long"), None, 1, False
@@ -306,6 +315,8 @@ def labels(docs: DataFrame, members: DataFrame, idf: np.ndarray, similar: float)
             now = labelled().join(_mixed(labelled()).select("band", "key"), ["band", "key"], "left_semi")
             close, members = _bounded(materialise(now), vectors, idf, similar)
             compare(close)
+            if _few_pairs(labelled()):
+                leaders_each = 1 << 40
         leaders_each *= 4
     return found
 
