@@ -315,8 +315,8 @@ def labels(docs: DataFrame, members: DataFrame, idf: np.ndarray, similar: float)
             now = labelled().join(_mixed(labelled()).select("band", "key"), ["band", "key"], "left_semi")
             close, members = _bounded(materialise(now), vectors, idf, similar)
             compare(close)
-            if _few_pairs(labelled()):
-                leaders_each = 1 << 40
+        if not all_lead and _few_pairs(labelled()):
+            leaders_each = 1 << 40
         leaders_each *= 4
     return found
 
