@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import materialise
 
 
+def _edges(*pairs: tuple[str, str]) -> Column:
+    """A row (u, v) for each of these pairs of columns."""
+    return F.inline(F.array(*[F.struct(F.col(a).alias("u"), F.col(b).alias("v")) for a, b in pairs]))
+
+
+def _settled(pairs: DataFrame) -> bool:
+    """Whether distinct edges (u, v), v < u, are stars: every u has one edge and no v is a u."""
+    ends = pairs.select(F.inline(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))))
+    ends = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return ends.where("up > 1 or (up = 1 and down = 1)").agg(F.count("*")).first()[0] == 0
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) from edges (a, b): label is the smallest node of the component; only nodes with edges.
 
@@ -15,30 +27,24 @@ def components(edges: DataFrame) -> DataFrame:
     hot; rounds grow with the logarithm of a component's size. Every round is written, so lost executors cost no more than it.
     """
     pairs = materialise(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    mark = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    before = mark(pairs)
-    while before[0]:
+    while not _settled(pairs):
         # Large star: every larger neighbour of u goes to the least neighbour of u.
-        both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = pairs.select(_edges(("u", "v"), ("v", "u")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         large = materialise(large)
         # Small star: u's smaller neighbours and u go to the least of them.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).where("u != v").distinct()
-        small = materialise(small)
-        pairs, now = small, mark(small)
-        if now == before:
-            break
-        before = now
-    return pairs.select(F.col("u").alias("node"), F.col("v").alias("label")).union(pairs.select(F.col("v").alias("node"), F.col("v").alias("label"))).distinct()
+        pairs = materialise(large.join(least, "u").select(_edges(("v", "m"), ("u", "m"))).where("u != v").distinct())
+    return pairs.select(F.col("u").alias("node"), F.col("v").alias("label")).union(pairs.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
 
 
 def merge(labels: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, label) after edges (a, b) are added to the components that labels holds; only the components that edges touch are walked."""
+    """(node, label) after edges (a, b), a != b, are added to the components that labels holds; only the components that edges touch are walked."""
     ends = labels.select(F.col("node").alias("a"), F.col("label").alias("la")), labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
-    edges = materialise(edges.join(ends[0], "a", "left").join(ends[1], "b", "left").select("a", "b", F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb")))
-    known = labels.union(edges.select("a", "la")).union(edges.select("b", "lb")).distinct()
-    found = components(edges.select(F.col("la").alias("a"), F.col("lb").alias("b"))).select(F.col("node").alias("label"), F.col("label").alias("least"))
-    return materialise(known.join(found, "label", "left").select("node", F.coalesce("least", "label").alias("label")))
+    between = edges.join(ends[0], "a", "left").join(ends[1], "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+    found = components(between)
+    moved = found.select(F.col("node").alias("label"), F.col("label").alias("least"))
+    # What has no label yet is its own, so found has it as a node.
+    fresh = found.join(labels.select("node"), "node", "left_anti")
+    return materialise(labels.join(moved, "label", "left").select("node", F.coalesce("least", "label").alias("label")).union(fresh))

@@ -300,7 +300,9 @@ def labels(docs: DataFrame, members: DataFrame, idf: np.ndarray, similar: float)
         sides = [near.select(F.col("doc_id").alias(x), F.col("h").alias(f"h{x}"), F.col("n").alias(f"n{x}")) for x in "ab"]
         checked = materialise(pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "ha", "na", "hb", "nb").mapInArrow(_verify(idf, similar), "a long, b long, similar boolean"))
         known = checked if known is None else known.union(checked)
-        found = merge(found, checked.where("similar").select("a", "b"))
+        links = checked.where("similar").select("a", "b")
+        if not links.isEmpty():
+            found = merge(found, links)
 
     def labelled() -> DataFrame:
         return members.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
