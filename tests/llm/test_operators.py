@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from depweave.llm import bpe, exact_dedup, language, licences, mixing, near_dedup, quality, queries, secrets, top_k, toxicity
+from depweave.llm import bpe, components, exact_dedup, language, licences, mixing, near_dedup, quality, queries, secrets, top_k, toxicity
 
 SF = "/root/testdata/sf0.01"
 AWKWARD = [
@@ -395,3 +395,18 @@ def test_top_k_awkward(spark):
     got = [tuple(r) for r in top_k.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).orderBy("rank").collect()]
     assert got == [(0, 1, 4, 64 * 64 + 32 * 32), (0, 2, 4, 64 * 64 + 32 * 32), (0, 3, 3, 64 * 16)]
     assert top_k.search(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["path", "star", "random", "empty"])
+def test_components_are_those_of_union_find(spark, kind):
+    nodes = [k * 37 % 101 for k in range(101)]
+    edges = {"path": list(zip(nodes, nodes[1:])), "star": [(nodes[50], n) for n in nodes if n != nodes[50]], "random": [(k * k % 101, k * 7 % 101) for k in range(1, 60)], "empty": []}[kind]
+    edges = [(a, b) for a, b in edges if a != b]
+    found, least = spark.createDataFrame([], "node long, label long"), {}
+    for part in (edges[::2], edges[1::2]):
+        found = components.merge(found, spark.createDataFrame(part, "a long, b long"))
+        for a, b in part:
+            a, b = least.setdefault(a, a), least.setdefault(b, b)
+            least = {n: min(a, b) if m in (a, b) else m for n, m in least.items()}
+        assert {r["node"]: r["label"] for r in found.collect()} == least
+        assert found.count() == len(least)
