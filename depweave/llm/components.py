@@ -28,10 +28,10 @@ def components(edges: DataFrame) -> DataFrame:
     """
     pairs = materialise(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     while not _settled(pairs):
-        # Large star: every larger neighbour of u goes to the least neighbour of u.
+        # Large star: every larger neighbour of u goes to the least neighbour of u. There are no more rows than edges; repeated ones go below.
         both = pairs.select(_edges(("u", "v"), ("v", "u")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
         large = materialise(large)
         # Small star: u's smaller neighbours and u go to the least of them.
         least = large.groupBy("u").agg(F.min("v").alias("m"))

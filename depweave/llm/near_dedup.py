@@ -11,7 +11,7 @@ compared with a leader, which settles groups of copies; no member is dropped, ho
 different components in one bucket, is bounded before it is compared: shingles that at most RARE of these members hold are listed, and
 members that share one are compared.  All others share nothing but the rest of their weight, s of w, and two of them reach the
 similarity t only if each is at most s (1 + t) / t - w heavy; who has no such partner is done, and the others are compared with
-four times as many leaders each round (with all at once, if they are few), until every pair of a bucket is compared, joined by links or ruled out by its bound.
+STEPS times as many leaders each round (with all at once, if they are few), until every pair of a bucket is compared, joined by links or ruled out by its bound.
 Classes are the connected components of the links; the row of the smallest doc_id of a class (nulls last) names it and stays.
 
 Null, empty and wordless texts have no shingles and are alone. Texts of one to four words have one shingle, all
@@ -40,6 +40,8 @@ SMOOTHING = 4.0
 RARE = 8
 #: Pairs for each member that are compared in one round, all members leading, instead of several rounds.
 AT_ONCE = 16
+#: Times the leaders of one round that the next one has. A round costs some 40 stages, however few its pairs.
+STEPS = 16
 #: Most members whose rows are picked by a bitmap (of 32 MB then).
 MOST_MARKS = 1 << 23
 #: Bytes of texts that are worked on at once.
@@ -246,7 +248,7 @@ def _bounded(now: DataFrame, vectors: DataFrame, idf: np.ndarray, similar: float
     held = materialise(held.select("n", "held"))
     rare = held.select(F.explode("held").alias("x")).groupBy("x.rep").agg(F.sum("x.weight").alias("rare"))
     partners = lambda x: F.transform(F.filter("held", lambda y: (y["rep"] > x["rep"]) & (y["label"] != x["label"]) & (F.least(x["total"], y["total"]) >= similar * F.greatest(x["total"], y["total"]))), lambda y: F.struct(y["rep"].alias("a"), x["rep"].alias("b")))
-    close = held.where("n > 1").select(F.explode(F.flatten(F.transform("held", partners))).alias("p")).select("p.a", "p.b").distinct()
+    close = held.where("n > 1").select(F.explode(F.flatten(F.transform("held", partners))).alias("p")).select("p.a", "p.b")
     # A little more than the bound, for the rounding of sums.
     cap = ((F.col("weight") - F.coalesce("rare", F.lit(0.0))) * ((1 + similar) / similar) - F.col("weight")) * (1 + 1e-6)
     caps = materialise(alive.join(rare, "rep", "left").select("rep", cap.alias("cap")).where(F.col("cap") >= similar * F.col("weight") * (1 - 1e-6)))
@@ -273,7 +275,7 @@ def _wanted(members: DataFrame, leaders_each: int) -> tuple[DataFrame, DataFrame
     inside = materialise(members.join(buckets, ["band", "key"]).select("band", "key", "rep", "weight", "cap", "label", chosen.alias("leads")))
     leaders = inside.where("leads").select("band", "key", F.col("rep").alias("leader"), F.col("weight").alias("other_weight"), F.col("cap").alias("other_cap"), F.col("label").alias("other"))
     pairs = inside.join(leaders, ["band", "key"]).where("label != other and weight <= other_cap and other_weight <= cap")
-    return inside.drop("leads"), pairs.select(F.greatest("rep", "leader").alias("a"), F.least("rep", "leader").alias("b")).distinct(), leaders_each > most
+    return inside.drop("leads"), pairs.select(F.greatest("rep", "leader").alias("a"), F.least("rep", "leader").alias("b")), leaders_each > most
 
 
 def _few_pairs(members: DataFrame) -> bool:
@@ -287,10 +289,11 @@ def labels(docs: DataFrame, members: DataFrame, idf: np.ndarray, similar: float)
     """(node, label): components of the links between representatives that share a band; only nodes with links. members: band, key, rep, weight."""
     found, known, leaders_each, all_lead = docs.sparkSession.createDataFrame([], "node long, label long"), None, 1, False
     members = members.withColumn("cap", F.col("weight") * ((1 + 1e-6) / similar))
-    vectors = None
+    vectors = close = None
 
     def compare(pairs: DataFrame) -> None:
         nonlocal found, known
+        pairs = pairs.distinct()
         pairs = materialise(pairs if known is None else pairs.join(known, ["a", "b"], "left_anti"))
         if pairs.isEmpty():
             return
@@ -312,14 +315,14 @@ def labels(docs: DataFrame, members: DataFrame, idf: np.ndarray, similar: float)
         members = members.drop("label")
         if vectors is None:
             vectors = vectors_of(docs, members.select(F.col("rep").alias("doc_id")))
-        compare(pairs)
+        compare(pairs if close is None else pairs.union(close))
+        close = None
         if leaders_each == 1 and not all_lead:
             now = labelled().join(_mixed(labelled()).select("band", "key"), ["band", "key"], "left_semi")
             close, members = _bounded(materialise(now), vectors, idf, similar)
-            compare(close)
         if not all_lead and _few_pairs(labelled()):
             leaders_each = 1 << 40
-        leaders_each *= 4
+        leaders_each *= STEPS
     return found
 
 
